@@ -18,8 +18,7 @@ def canonical_text(s: str) -> str:
     return "".join(c for c in s if c.isalnum())
 
 
-@F.pandas_udf("string")
-def _canonical_udf(texts: pd.Series) -> pd.Series:
+def _canonical_series(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_text, na_action="ignore")
 
 
@@ -43,8 +42,9 @@ def survivors(df: DataFrame, rec: str, fields: list[str]) -> DataFrame:
     for x in f:
         ascii_row = ascii_row & F.col(x).rlike(_ASCII)
     d = written(d, "survivors")
+    canonical = F.pandas_udf(_canonical_series, "string")
     easy = d.filter(ascii_row).select("*", *(_plain(F.col(x)).alias(f"c{i}") for i, x in enumerate(f)))
-    hard = d.filter(~ascii_row).select("*", *(_canonical_udf(F.col(x)).alias(f"c{i}") for i, x in enumerate(f)))
+    hard = d.filter(~ascii_row).select("*", *(canonical(F.col(x)).alias(f"c{i}") for i, x in enumerate(f)))
     return easy.unionByName(hard)
 
 
