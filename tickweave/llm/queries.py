@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import bpe, collapse
+from tickweave.llm import bpe, collapse, incremental
 from tickweave.runtime import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    t = table(spark, folder, "feedback_memory")
+    r = incremental.readable(t, F.col("rec_id"), F.col("batch_no"), F.col("prefix_expression"), F.col("direction"))
+    return incremental.deduplicate(r, incremental.BatchIndex(spark))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return collapse.copies(table(spark, folder, "graph_nodes"), "rec_id", ["id", "title"])
 
@@ -21,5 +27,5 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_nodes": p6_nodes, "p7_ids": p7_ids}
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_nodes": p6_nodes, "p7_ids": p7_ids}
 ORACLE: dict[str, str] = {}
