@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import bpe, collapse, incremental
+from tickweave.llm import bpe, collapse, incremental, langid, truncation
 from tickweave.runtime import table
 
 
+def _ends(spark: SparkSession, folder: str) -> DataFrame:
+    of = [("graph_nodes", "abstract"), ("evidence", "quote")]
+    a, b = (table(spark, folder, t).select(F.lit(t).alias("tab"), F.col("source").cast("string"), F.col("rec_id").cast("long"), F.col(c).cast("string").alias("text")) for t, c in of)
+    return a.unionByName(b)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated(_ends(spark, folder)).filter(F.col("score") >= truncation.THRESHOLD).select("tab", "rec_id")
+
+
+def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.report(truncation.truncated(_ends(spark, folder)))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "feedback_memory")
     r = incremental.readable(t, F.col("rec_id"), F.col("batch_no"), F.col("prefix_expression"), F.col("direction"))
@@ -27,5 +41,17 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_nodes": p6_nodes, "p7_ids": p7_ids}
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.segments(table(spark, folder, "documents").select("doc_id", "text", "lang"), F.col("doc_id"), F.col("text"), F.col("lang"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.mislabelled(_segments(spark, folder))
+
+
+def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return _segments(spark, folder)
+
+
+QUERIES = {"p9_found": p9_found, "p9_segments": p9_segments, "p3_found": p3_found, "p3_sources": p3_sources, "p5_found": p5_found, "p6_found": p6_found, "p6_nodes": p6_nodes, "p7_ids": p7_ids}
 ORACLE: dict[str, str] = {}
