@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import bpe, collapse, incremental, langid, truncation
+from tickweave.llm import bpe, collapse, incremental, langid, matching, truncation
 from tickweave.runtime import table
 
 
@@ -23,6 +23,24 @@ def p3_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.report(truncation.truncated(_ends(spark, folder)))
 
 
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    w, p = table(spark, folder, "works"), table(spark, folder, "preprints")
+    digits = F.regexp_extract(F.coalesce(F.col("openalex_id"), F.lit("")), r"[wW](\d+)", 1)
+    bare = F.regexp_extract(F.coalesce(F.col("arxiv_id"), F.lit("")), r"(\d{4}\.\d{4,5}|[a-z-]+(?:\.[A-Z]{2})?/\d{7})", 1)
+    works = matching.entities(w, F.when(digits != "", F.concat(F.lit("W"), digits)), F.col("title"), F.col("authors"), None, F.col("publication_year"), F.col("doi"), F.struct("updated_at", "rec_id"))
+    prints = matching.entities(p, F.nullif(bare, F.lit("")), F.col("title"), None, F.col("author_line"), F.year("submitted"), F.col("doi"), F.struct("received_at", "rec_id"))
+    return matching.match(prints, works)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    m = _matches(spark, folder).filter(F.col("confidence") >= matching.THRESHOLD)
+    return m.select(F.col("a_id").alias("arxiv_id"), F.col("b_id").alias("openalex_id"))
+
+
+def p4_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return _matches(spark, folder).select(F.col("a_id").alias("arxiv_id"), F.col("b_id").alias("openalex_id"), "confidence")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "feedback_memory")
     r = incremental.readable(t, F.col("rec_id"), F.col("batch_no"), F.col("prefix_expression"), F.col("direction"))
@@ -53,5 +71,5 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder)
 
 
-QUERIES = {"p9_found": p9_found, "p9_segments": p9_segments, "p3_found": p3_found, "p3_sources": p3_sources, "p5_found": p5_found, "p6_found": p6_found, "p6_nodes": p6_nodes, "p7_ids": p7_ids}
+QUERIES = {"p4_found": p4_found, "p4_matches": p4_matches, "p9_found": p9_found, "p9_segments": p9_segments, "p3_found": p3_found, "p3_sources": p3_sources, "p5_found": p5_found, "p6_found": p6_found, "p6_nodes": p6_nodes, "p7_ids": p7_ids}
 ORACLE: dict[str, str] = {}
