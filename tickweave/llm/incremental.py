@@ -112,17 +112,16 @@ def _settled(pairs: DataFrame) -> DataFrame:
     the order of ids a class is accepted if none of them is. Each round accepts every class without an undecided
     earlier one; the rounds are as many as the longest chain of changing verdicts.
     """
-    spark = pairs.sparkSession
-    done = spark.createDataFrame([], "rec_id long, first_id long")
-    left = pairs
+    done: list[DataFrame] = []
+    left = written(pairs, "undecided")
     while not left.isEmpty():
         open_ids = left.select(F.col("rec_id").alias("acc_id")).distinct()
         hit = left.join(open_ids, "acc_id", "left_anti")  # links to classes that are now accepted
         new = written(_choice(hit), "settled")
-        done = done.unionByName(new)
+        done.append(new)
         repeats = new.select("rec_id")
         left = written(left.join(repeats, "rec_id", "left_anti").join(repeats.withColumnRenamed("rec_id", "acc_id"), "acc_id", "left_anti"), "undecided")
-    return done
+    return reduce(DataFrame.unionByName, done) if done else left.selectExpr("rec_id", "acc_id as first_id")
 
 
 def deduplicate(records: DataFrame, index: BatchIndex) -> DataFrame:
@@ -147,7 +146,7 @@ def deduplicate(records: DataFrame, index: BatchIndex) -> DataFrame:
         old = _choice(pairs.filter("not own"))
         ids = old.select("rec_id")
         within = pairs.filter("own").join(ids, "rec_id", "left_anti").join(ids.withColumnRenamed("rec_id", "acc_id"), "acc_id", "left_anti")
-        verdicts.append(repeats := old.unionByName(_settled(within)))
+        verdicts.append(repeats := written(old.unionByName(_settled(within)), "repeats"))
         index.append(classes.join(repeats.select("rec_id"), "rec_id", "left_anti"))
     known = reduce(DataFrame.unionByName, verdicts, records.sparkSession.createDataFrame([], "rec_id long, first_id long"))
     later = groups.filter("batch_no > 0").join(known, "rec_id", "left").withColumn("first_id", F.coalesce("first_id", "rec_id")).drop("rec_id")
