@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import bpe, collapse, incremental, langid, matching, truncation
+from tickweave.llm import bpe, collapse, incremental, langid, matching, mixing, truncation
 from tickweave.runtime import table
 
 
@@ -59,6 +59,27 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
 
 
+def _mix(spark: SparkSession, folder: str, exact: bool) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mix(mixing.sized(d, F.col("doc_id"), F.col("text"), F.col("source")), table(spark, folder, "mix_targets"), exact_shares=exact)
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder, False)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder, False)[1]
+
+
+def p8_mix_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder, True)[0]
+
+
+def p8_shares_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder, True)[1]
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     return langid.segments(table(spark, folder, "documents").select("doc_id", "text", "lang"), F.col("doc_id"), F.col("text"), F.col("lang"))
 
@@ -71,5 +92,5 @@ def p9_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder)
 
 
-QUERIES = {"p4_found": p4_found, "p4_matches": p4_matches, "p9_found": p9_found, "p9_segments": p9_segments, "p3_found": p3_found, "p3_sources": p3_sources, "p5_found": p5_found, "p6_found": p6_found, "p6_nodes": p6_nodes, "p7_ids": p7_ids}
+QUERIES = {"p4_found": p4_found, "p4_matches": p4_matches, "p9_found": p9_found, "p9_segments": p9_segments, "p3_found": p3_found, "p3_sources": p3_sources, "p5_found": p5_found, "p6_found": p6_found, "p6_nodes": p6_nodes, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_mix_exact": p8_mix_exact, "p8_shares_exact": p8_shares_exact}
 ORACLE: dict[str, str] = {}
