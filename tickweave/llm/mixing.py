@@ -16,7 +16,7 @@ MAX_SOURCES = 10_000
 STEPS, CLOSE = 40, 1e-9
 BINS = 4096
 #: Documents above a HEAVY-th of their source's goal are rounded by their own chance and the others make up for it;
-#: those above a GIANT-th are not rounded up.
+#: those above a GIANT-th get the whole copies of the even rate.
 HEAVY, GIANT = 20, 4
 
 
@@ -118,16 +118,24 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None,
     if exact_shares and have:
         whole = min([whole * max(most.values(), default=1) / min(share.values()), *(most[s] * r["tokens"] / share[s] for s, r in have.items() if most[s] > 0)])
     goal = {s: min(share[s] * whole, most[s] * r["tokens"]) for s, r in have.items()}
-    full = {s for s in goal if most[s] > 0 and share[s] * whole >= most[s] * have[s]["tokens"] * (1 - 1e-12)}
-    tilt = balance(hist, {s: (most[s], have[s]["tokens"] / have[s]["docs"], goal[s], have[s]["docs"] * goal[s] / have[s]["tokens"]) for s in goal if s not in full and most[s] > 0 and goal[s] > 0})
-    tilt |= {s: (50.0, 0.0) for s in full}
-    rows = [(s, most[s], have[s]["tokens"] / have[s]["docs"], *ab) for s, ab in tilt.items()]
+    # Giants get the whole part of the even rate; the rest of the goal is balanced over the other documents.
+    whole_rate = {s: float(math.floor(min(most[s], goal[s] / have[s]["tokens"]))) for s in goal}
+    limits = F.broadcast(spark.createDataFrame([(s, v / GIANT) for s, v in goal.items()] or [("", 0.0)], "source string, limit double"))
+    rest_hist = hist.join(limits, "source").filter("n_tokens <= limit").drop("limit")
+    rest = {r["source"]: r for r in rest_hist.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("n_tokens")).alias("tokens")).collect()}
+    left = {s: goal[s] - whole_rate[s] * (have[s]["tokens"] - rest[s]["tokens"]) for s in rest}
+    full = {s for s in left if left[s] >= most[s] * rest[s]["tokens"] * (1 - 1e-12)}
+    tilt = balance(rest_hist, {s: (most[s], rest[s]["tokens"] / rest[s]["docs"], left[s], rest[s]["docs"] * left[s] / rest[s]["tokens"]) for s in left if s not in full and left[s] > 0})
+    tilt |= {s: (50.0, 0.0) for s in full} | {s: (-60.0, 0.0) for s in goal if s not in rest}
+    rows = [(s, most[s], have[s]["tokens"] / have[s]["docs"] if s not in rest else rest[s]["tokens"] / rest[s]["docs"], *ab) for s, ab in tilt.items()]
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    x = used.join(_params(sizes, rows), "source").withColumn("r", rate()).withColumn("base", F.floor("r")).withColumn("d", u - (F.col("r") - F.col("base")))
-    part = F.broadcast(spark.createDataFrame([(g, float(v)) for g, v in goal.items()] or [("", 0.0)], "source string, goal double"))
-    x = x.join(part, "source").withColumn("light", (F.col("r") < F.col("most")) & (F.col("n_tokens") <= F.col("goal") / HEAVY))
-    heavy_up = (F.col("r") < F.col("most")) & ~F.col("light") & (F.col("n_tokens") <= F.col("goal") / GIANT) & (F.col("d") < 0)
-    x = x.withColumn("base", F.col("base") + heavy_up.cast("int"))
+    part = F.broadcast(spark.createDataFrame([(g, float(v), whole_rate[g]) for g, v in goal.items()] or [("", 0.0, 0.0)], "source string, goal double, giant_rate double"))
+    x = used.join(_params(sizes, rows), "source").join(part, "source")
+    x = x.withColumn("r", F.when(F.col("n_tokens") > F.col("goal") / GIANT, F.col("giant_rate")).otherwise(rate()))
+    x = x.withColumn("base", F.floor("r")).withColumn("d", u - (F.col("r") - F.col("base")))
+    open_ = (F.col("r") < F.col("most")) & (F.col("n_tokens") <= F.col("goal") / GIANT)
+    x = x.withColumn("light", open_ & (F.col("n_tokens") <= F.col("goal") / HEAVY))
+    x = x.withColumn("base", F.col("base") + (open_ & ~F.col("light") & (F.col("d") < 0)).cast("int"))
     steps = x.filter("light").groupBy("source", F.floor(F.col("d") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("step"))
     base = {r[0]: r[1] for r in x.groupBy("source").agg(F.sum(F.col("base") * F.col("n_tokens"))).collect()}
     by: dict[str, list] = {}
