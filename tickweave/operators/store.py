@@ -87,8 +87,8 @@ def tiered(df: DataFrame, forced: Column, order: Sequence[Column], n: int) -> Da
 
 
 def arm_statistics(df: DataFrame, arm: Sequence[str], reward: str, seq: str) -> DataFrame:
-    """Trials, mean reward, successes and failures and the last reward of each arm."""
-    return df.groupBy(*arm).agg(F.count("*").alias("n_trials"), F.avg(reward).alias("mean_reward"), F.count_if(F.col(reward) > 0).alias("n_success"), F.count_if(~(F.coalesce(F.col(reward), F.lit(0.0)) > 0)).alias("n_failure"), F.max_by(reward, seq).alias("last_reward"))
+    """Trials, mean reward, successes and failures and the last known reward of each arm."""
+    return df.groupBy(*arm).agg(F.count("*").alias("n_trials"), F.avg(reward).alias("mean_reward"), F.count_if(F.col(reward) > 0).alias("n_success"), F.count_if(~(F.coalesce(F.col(reward), F.lit(0.0)) > 0)).alias("n_failure"), F.max(F.when(F.col(reward).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(reward).alias("r"))))["r"].alias("last_reward"))
 
 
 def nearest_rank(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[int]) -> DataFrame:

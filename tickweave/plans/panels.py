@@ -24,7 +24,7 @@ def tick_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 TICKS = (
     "panel AS (SELECT CAST(delay_time AS DATE) AS date, CASE WHEN length(d) >= 6 THEN d WHEN length(d) > 0 THEN lpad(d, 6, '0') END AS code, delay_time, tick_id AS seq, "
-    + ", ".join([f"CASE WHEN {c} > 0 AND {c} < 10000 THEN {c} END AS {c}" for c in PRICES] + [f"CASE WHEN {c} >= 0 AND {c} < 1e9 THEN {c} END AS {c}" for c in SIZES])
+    + ", ".join([f"CASE WHEN NOT isnan({c}) AND {c} > 0 AND {c} < 10000 THEN {c} END AS {c}" for c in PRICES] + [f"CASE WHEN NOT isnan({c}) AND {c} >= 0 AND {c} < 1e9 THEN {c} END AS {c}" for c in SIZES])
     + " FROM (SELECT regexp_replace(code, '[^0-9]', '', 'g') AS d, * FROM ticks) WHERE d IS NOT NULL AND d <> '' AND delay_time IS NOT NULL)"
 )
 ORDERED = "PARTITION BY date, code ORDER BY delay_time, seq"
