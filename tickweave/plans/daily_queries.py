@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickweave.operators import daily as D
 from tickweave.operators import hf as H
+from tickweave.plans.grid_queries import ORACLE as GRID
 from tickweave.plans.panels import DAILY, ORDERED, TICKS, daily_returns, rows, tick_panel
 
 _FEATURES = ("momentum_sum", "reversal_sum", "mean_return", "volatility", "downside_volatility", "skewness", "kurtosis", "max_return", "min_return", "autocorrelation_lag1", "market_residual_momentum")
@@ -50,6 +51,21 @@ def d12_d17_experiment(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in e.dtypes))
 
 
+def flagship_bar_rank_ic(spark: SparkSession, folder: str) -> DataFrame:
+    """Scan, grid, expression, label and cross-section in one plan: the rank IC of each five-minute bar of a
+    three-bar momentum against the next bar's return."""
+    from pyspark.sql import Window as W
+
+    from tickweave.operators.expr import Panel, evaluate
+    from tickweave.plans.grid_queries import p1_series
+
+    bars = p1_series(spark, folder).withColumn("close", F.coalesce("last_close", "grid_close"))
+    x = evaluate(bars, {"feature": ["pct_change", "close", 3]}, Panel(("code", "trade_day"), ("minute_of_day",)), keep=["code", "trade_day", "minute_of_day", "close"])
+    after = F.lead("close").over(W.partitionBy("code", "trade_day").orderBy("minute_of_day"))
+    x = x.select(F.concat_ws(" ", "trade_day", F.col("minute_of_day").cast("string")).alias("date"), "feature", (F.try_divide(after, F.col("close")) - 1).alias("label"))
+    return D.rank_ic(x, 3).select(F.col("date").alias("bar"), F.round("rank_ic", 6).alias("rank_ic"), "n")
+
+
 def d16_axes(spark: SparkSession, folder: str) -> DataFrame:
     r = daily_returns(spark, folder)
     return D.axis_differences(r, r.filter("ret is not null"))
@@ -147,7 +163,13 @@ _BASE = (
 _V = {"volume": "coalesce(s, 0)", "volume_flip": "coalesce(-s, 0)", "volume_roll5": f"avg(s) {rows(5)}", "volume_roll20": f"avg(s) {rows(20)}", "volume_z20": _zs("s", 20), "volume_norm5": _dz("s", _STD("s", 5)), "volume_norm20": _dz("s", _STD("s", 20))}
 _R = lambda d, n: ", ".join(f"round({v}, {n}) AS {k}" for k, v in d.items())
 _EVAL = "SELECT round((SELECT avg(rank_ic) FROM {ic}), 6) AS mean_ic, round((SELECT stddev_samp(rank_ic) FROM {ic}), 6) AS std_ic, round((SELECT avg(CAST(rank_ic > 0 AS INTEGER)) FROM {ic}), 6) AS positive_ratio, (SELECT count(*) FROM {ic}) AS n_days, round((SELECT avg(spread) FROM {q}), 6) AS qspread_mean, round((SELECT count(*) FROM {v}) / CAST((SELECT count(label) FROM {m}) AS DOUBLE), 6) AS finite_ratio, (SELECT count(*) FROM {v}) AS n_obs, round((SELECT avg(rank_ic) / stddev_samp(rank_ic) FROM {ic}), 6) AS icir"
+_BARS = (
+    f"s AS (SELECT *, coalesce(last_close, grid_close) AS close FROM ({GRID['p1_series']})), f AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY code, trade_day ORDER BY minute_of_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, lead(close) OVER (PARTITION BY code, trade_day ORDER BY minute_of_day) AS nxt FROM s), "
+    "g AS (SELECT trade_day || ' ' || minute_of_day AS bar, c / nullif(lag(c, 3) OVER (PARTITION BY code, trade_day ORDER BY minute_of_day), 0) - 1 AS feature, nxt / nullif(close, 0) - 1 AS label FROM f), "
+    "v AS (SELECT bar, rank() OVER (PARTITION BY bar ORDER BY feature) + (count(*) OVER (PARTITION BY bar, feature) - 1) / CAST(2 AS DOUBLE) AS rf, rank() OVER (PARTITION BY bar ORDER BY label) + (count(*) OVER (PARTITION BY bar, label) - 1) / CAST(2 AS DOUBLE) AS rl FROM g WHERE feature IS NOT NULL AND label IS NOT NULL)"
+)
 ORACLE = {
+    "flagship_bar_rank_ic": f"WITH {_BARS} SELECT bar, round(covar_samp(rf, rl) / nullif(stddev_samp(rf) * stddev_samp(rl), 0), 6) AS rank_ic, count(*) AS n FROM v GROUP BY bar HAVING count(*) >= 3 AND rank_ic IS NOT NULL",
     "d_features": f"WITH {_SANE} SELECT date, ticker, ret, {_R(_D, 5)} FROM p",
     "d11_label": f"WITH {_LAB} SELECT date, ticker, round(label, 7) AS label FROM m",
     "d13_rank_ic": f"WITH {_LAB} SELECT date, round(rank_ic, 6) AS rank_ic, n FROM ic",
@@ -158,4 +180,4 @@ ORACLE = {
     "h_helpers": f"WITH {_BASE} SELECT seq, {_R(_H, 5)} FROM x",
     "h37_variants": f"WITH {TICKS}, y AS (SELECT *, volume AS s FROM panel) SELECT seq, {_R(_V, 5)} FROM y",
 }
-QUERIES = {"d_features": d_features, "d11_label": d11_label, "d13_rank_ic": d13_rank_ic, "d14_spread": d14_spread, "d15_evaluation": d15_evaluation, "d12_d17_experiment": d12_d17_experiment, "d16_axes": d16_axes, "s2_unpivot": s2_unpivot, "h_helpers": h_helpers, "h10_decays": h10_decays, "h37_variants": h37_variants}
+QUERIES = {"flagship_bar_rank_ic": flagship_bar_rank_ic, "d_features": d_features, "d11_label": d11_label, "d13_rank_ic": d13_rank_ic, "d14_spread": d14_spread, "d15_evaluation": d15_evaluation, "d12_d17_experiment": d12_d17_experiment, "d16_axes": d16_axes, "s2_unpivot": s2_unpivot, "h_helpers": h_helpers, "h10_decays": h10_decays, "h37_variants": h37_variants}
