@@ -161,3 +161,33 @@ def identity_groups(records: DataFrame, ident: str, keys: Sequence[str], rank: S
     shared = e.join(c, "a").groupBy("component", "b").agg(F.count("*").alias("n")).filter("n > 1").groupBy(F.col("component").alias("g")).agg(F.array_sort(F.collect_set(F.regexp_extract("b", "^key_([^\x1f]*)\x1f", 1))).alias("methods"))  # one per kind of key
     s = g.groupBy("g").agg(F.count("*").alias("group_size"), F.max("rank").alias("best")).join(shared, "g", "left")
     return g.select("rid", "g").join(s, "g").select(F.col("rid").alias("id"), "group_size", F.col("best.__i").alias("representative"), F.coalesce("methods", F.array().cast("array<string>")).alias("methods"))
+
+
+def greedy_clusters(vectors: DataFrame, group: str, ident: str, vector: str, least: float) -> DataFrame:
+    """(ident, group, cluster): each vector, in order of id, goes to the first cluster of its group whose head has a
+    cosine of ``least`` or more, else heads a new one. Null, empty and zero vectors are clusters of their own.
+
+    The order makes it sequential within a group; rows stream through sorted, and a task holds the heads alone."""
+    src = vectors.select(F.col(ident).alias("i"), F.col(group).alias("g"), F.transform(F.coalesce(vector, F.array().cast(vectors.schema[vector].dataType)), lambda x: x.cast("double")).alias("v"))
+    kinds = [src.schema[c].dataType.simpleString() for c in ("i", "g")]
+
+    def run(batches):
+        now, heads, n = None, [], 0
+        for b in batches:
+            out = []
+            for g, v in zip(b.column("g").to_pylist(), b.column("v").to_pylist()):
+                if (g,) != now:
+                    now, heads, n = (g,), [], 0
+                x = np.array(v, float)
+                size = np.linalg.norm(x) if len(x) else 0.0
+                at = np.flatnonzero(np.stack([h for h, _ in heads]) @ (x / size) >= least) if heads and size > 0 else ()
+                if len(at):
+                    out.append(heads[at[0]][1])
+                    continue
+                if size > 0:
+                    heads.append((x / size, n))
+                out.append(n)
+                n += 1
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("g"), pa.array(out, pa.int32())], [ident, group, "cluster"])
+
+    return src.repartition("g").sortWithinPartitions("g", "i").mapInArrow(run, f"{ident} {kinds[0]}, {group} {kinds[1]}, cluster int")

@@ -33,15 +33,16 @@ def regular_grid(
     day they are, if they are at most ``gap_limit_min`` apart; else null. ``status`` is observed (the period
     has a reading), interpolated (none, grid_value known) or missing (none, grid_value null).
 
-    Readings with null source, time or value, NaN or infinity don't exist; of several at one time the last in
+    Readings with null source, time or value or a NaN don't exist; an infinite one is a reading, and no grid_value is
+    made of it; of several at one time the last in
     ``order`` counts to the left and the first to the right. An empty input gives an empty result.
 
     Readings shrink to a first and a last per period before anything is sorted (partial aggregation, so a hot
     source or day spreads over all tasks); the merge itself sees at most 24 h / step rows per source and day.
     """
     day_us, step_us = 86_400_000_000, step_min * 60_000_000
-    r = readings.select(source.alias("source"), F.to_date(time).alias("day"), wall_micros(time).alias("us"), order.alias("seq"), finite(value).alias("value"))
-    r = r.filter("source is not null and day is not null and value is not null")
+    r = readings.select(source.alias("source"), F.to_date(time).alias("day"), wall_micros(time).alias("us"), order.alias("seq"), value.cast("double").alias("value"))
+    r = r.filter("source is not null and day is not null and value is not null and not isnan(value)")
     s = F.struct("us", "seq", "value")
     slots = r.groupBy("source", "day", (F.col("us") / step_us).cast("int").alias("slot")).agg(F.count("*").alias("n"), F.min(s).alias("first"), F.max(s).alias("last"))
     starts = [m // step_min for a, b in sessions for m in range(a, b, step_min)]
@@ -64,6 +65,6 @@ def regular_grid(
         F.when(F.col("after.us") == start, F.col("after.value"))
         .when((gap <= gap_limit_min * 60_000_000) & (gap > 0), F.col("before.value") + (F.col("after.value") - F.col("before.value")) * ((start - F.col("before.us")) / gap))
     )
-    out = merged.select("source", "day", (F.col("slot") * step_min).alias("minute"), F.col("n").alias("n_readings"), F.col("first.value").alias("first_value"), F.col("last.value").alias("last_value"), grid_value.alias("grid_value"))
+    out = merged.select("source", "day", (F.col("slot") * step_min).alias("minute"), F.col("n").alias("n_readings"), F.col("first.value").alias("first_value"), F.col("last.value").alias("last_value"), finite(grid_value).alias("grid_value"))
     assert day_us % step_us == 0
     return out.withColumn("status", F.when(F.col("n_readings") > 0, "observed").when(F.col("grid_value").isNotNull(), "interpolated").otherwise("missing"))

@@ -469,24 +469,7 @@ def g6_g7_finalised(spark: SparkSession, folder: str) -> DataFrame:
 
 def g8_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors greedily assigned, in order of id, to the first cluster whose head is at 0.55 or more (per label)."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        heads: list[int] = []
-        own = []
-        for i in range(len(x)):
-            s = x[heads] @ x[i] if heads else np.zeros(0)
-            k = int(np.argmax(s >= 0.55)) if (s >= 0.55).any() else len(heads)
-            if k == len(heads):
-                heads.append(i)
-            own.append(k)
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "cluster": own})
-
-    return table(spark, folder, "embeddings").groupBy("label").applyInPandas(run, "vec_id long, label int, cluster int")
+    return G.greedy_clusters(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", 0.55)
 
 
 def g12_sample(spark: SparkSession, folder: str) -> DataFrame:

@@ -33,7 +33,7 @@ WITH r AS (
   SELECT code, CAST(delay_time AS DATE) AS day, (hour(delay_time) * 3600 + minute(delay_time) * 60) * CAST(1000000 AS BIGINT) + microsecond(delay_time) AS us, tick_id, close
   FROM (SELECT CASE WHEN length(d) >= 6 THEN d WHEN length(d) > 0 THEN lpad(d, 6, '0') END AS code, delay_time, tick_id, close
         FROM (SELECT regexp_replace(code, '[^0-9]', '', 'g') AS d, * EXCLUDE (code) FROM ticks))
-  WHERE code IS NOT NULL AND delay_time IS NOT NULL AND close IS NOT NULL AND NOT isnan(close) AND NOT isinf(close)),
+  WHERE code IS NOT NULL AND delay_time IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)),
 p AS (SELECT unnest(list_concat(range(570, 690, 5), range(780, 900, 5))) AS m),
 d AS (SELECT DISTINCT code, day FROM r WHERE us // 300000000 * 5 IN (SELECT m FROM p)),
 g AS (SELECT code, day, m FROM d, p)
