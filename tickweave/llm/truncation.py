@@ -24,14 +24,14 @@ EPOCHS, BATCH, RATE, DECAY = 6, 512, 0.15, 1e-6
 LIMIT_TIMES, LIMIT_SHARE, LIMITS = 6.0, 0.004, 24
 THRESHOLD = 0.5
 #: What a cut may leave behind it.
-MARKS = ("...", "…", "[...]", "[…]", " ...", " …", " [...]", "(...)", "-", "<p", "</", "<br", "&amp", "&am", "&lt", "&n", "�")
+MARKS = ("...", "…", "[...]", "[…]", " ...", " …", " [...]", "(...)", "-", "<p", "</", "<br", "&amp", "&am", "&lt", "&n", "\\", "\\u00", "\\u2", "�")
 TERMINAL = ".。!?！？"
 _CLOSERS = "\"'”’»」』)）"
 _TERMINAL_END = re.compile(rf"[{re.escape(TERMINAL)}][{re.escape(_CLOSERS)}]*$")
 _GROUP_END = re.compile(r"\s*[\[(（][^\[\]()（）]{1,30}[\])）]$")
 _SENTENCE = re.compile(rf"[{re.escape(TERMINAL)}][{re.escape(_CLOSERS)}]*(?=\s|$)|[。！？]")
 _LABEL_LINE = re.compile(r"\n\s*\w[\w ]{0,30}[:：][^\n]*$")
-_MARKED = re.compile(r"(\.\.\.|…|\[\s*(\.\.\.|…)\s*\]|\(\s*\.\.\.\s*\)|<\/?[a-z]*|&[a-z#0-9]{0,6}|�)$")
+_MARKED = re.compile(r"(\.\.\.|…|\[\s*(\.\.\.|…)\s*\]|\(\s*\.\.\.\s*\)|<\/?[a-z]*|&[a-z#0-9]{0,6}|\\(?:u[0-9a-fA-F]{0,4})?|�)$")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
@@ -103,13 +103,17 @@ def _examples(text: str, chars: list[int], bytes_: list[int], rng: np.random.Gen
     """Whole and cut forms of an intact text."""
     body = text.rstrip()
     bare = body.rstrip(TERMINAL) if body[-1:] in TERMINAL else body
-    # A whole text that ends in its full stop may have the length of a limit by chance.
-    out = [(end_features(text, [], [], "at" if body[-1:] in TERMINAL and rng.random() < 0.3 else "away"), 0)]
+    # A whole text that ends in its full stop or in a reference may have the length of a limit by chance.
+    out = [(end_features(text, [], [], "at" if body[-1:] in TERMINAL + _CLOSERS + "]" and rng.random() < 0.3 else "away"), 0)]
     if bare != body and rng.random() < 0.5:
         out.append((end_features(bare, [], [], "away"), 0))
     ends = {m.start() for m in _SENTENCE.finditer(body)} | {m.end() for m in _SENTENCE.finditer(body)} | {len(bare), len(body)}
     for _ in range(2):
         at_limit = [x for x in chars if x < len(body) - 1]
+        stops = [m.start() for m in _SENTENCE.finditer(body) if 12 < m.start() < len(body) - 2]
+        if stops and chars and rng.random() < 0.15:  # a limit may fall just before a full stop
+            out.append((end_features(body[: stops[rng.integers(len(stops))]], [], [], "at"), 1))
+            continue
         if at_limit and rng.random() < 0.6:
             cut, place = at_limit[rng.integers(len(at_limit))], "at"
         else:
@@ -179,7 +183,7 @@ def source_limits(texts: DataFrame) -> DataFrame:
         all_ = W.partitionBy("tab", "source")
         h = h.select("*", F.expr("percentile(n, 0.5)").over(about).alias("mid"), F.count("*").over(about).alias("seen"), F.sum("n").over(all_).alias("all"))
         h = h.withColumn("mid", F.when(F.col("seen") < 41, F.lit(1.0)).otherwise(F.col("mid")))
-        h = h.filter((F.col("n") >= F.greatest(LIMIT_TIMES * F.col("mid"), LIMIT_SHARE * F.col("all"), F.lit(6.0))))
+        h = h.filter((F.col("n") >= F.greatest(LIMIT_TIMES * F.col("mid"), LIMIT_SHARE * F.col("all"), F.lit(8.0))))
         h = h.withColumn("r", F.row_number().over(all_.orderBy(F.desc("n"), "l"))).filter(F.col("r") <= LIMITS)
         return h.groupBy("tab", "source").agg(F.sort_array(F.collect_list("l")).alias(name))
 
