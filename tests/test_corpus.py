@@ -220,7 +220,7 @@ def test_greedy_selections(spark):
     df = spark.createDataFrame([(1, 9.0, 5.0, "a"), (2, 8.0, 6.0, "a"), (3, 7.0, 100.0, "b"), (4, 6.0, 1.0, None), (5, None, 1.0, "c"), (6, 9.0, 1.0, "a")], "id int, s double, c double, t string")
     assert [r["id"] for r in Y.portfolio(df, "id", "s", "c", "t", 3, 20.0, 2).orderBy("rank").collect()] == [1, 6, 4]
     e = spark.createDataFrame([("x", 1), ("x", 2), ("y", 2), ("y", 3), ("y", 4), ("z", 1)], "p string, t int")
-    assert [tuple(r) for r in Y.coverage(e, "p", "t", 5).orderBy("rank").collect()] == [("y", 1, 3), ("x", 2, 2)]
+    assert [tuple(r) for r in Y.coverage(e, "p", "t", 5).orderBy("rank").collect()] == [("y", 1, 3), ("x", 2, 1)]
     v = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0]), (3, 0, [1.0, 0.1]), (4, 0, None), (5, 1, [1.0, 0.0]), (6, 0, [0.0, 0.0])], "vec_id long, label int, e array<double>")
     got = {r["vec_id"]: r["cluster"] for r in G.greedy_clusters(v, "label", "vec_id", "e", 0.55).collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: 2, 5: 0, 6: 3}
