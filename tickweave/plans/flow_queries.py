@@ -11,13 +11,13 @@ from tickweave.functions import ids as I
 from tickweave.operators import expr as E
 from tickweave.operators import store as S
 from tickweave.plans.corpus_queries import _DOI, _M, _W, _metrics, _works
-from tickweave.runtime import shared_dir, table
+from tickweave.runtime import table, work_dir
 from tickweave.sources import tables as T
 from tickweave.streaming import flows as X
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def s1_s7_two_phase(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,11 +39,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_WORK: set[str] = set()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _WORK:
+        _WORK.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may have been stopped before
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a zstd Parquet table in the shared folder and read it again.
     The table survives the loss of executors and is a fraction of a row checkpoint's size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
