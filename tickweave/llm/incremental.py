@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators.prefix import canonical_skeleton
-from tickweave.runtime import shared_dir, skew_join, written
+from tickweave.runtime import skew_join, work_dir, written
 
 #: Numbers may differ by this share of the larger one; buckets are a hair wider, so that such numbers lie in
 #: the same bucket or in neighbouring ones.
@@ -56,7 +56,7 @@ class BatchIndex:
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder = spark, folder or f"{shared_dir(spark)}/batch-index-{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, folder or f"{work_dir(spark)}/batch-index-{uuid.uuid4().hex}"
 
     _SCHEMA = "token long, acc_id long, direction string, skeleton string, numbers array<double>, part int"
 

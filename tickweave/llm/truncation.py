@@ -17,6 +17,8 @@ from tickweave.runtime import written
 
 #: Texts that train the model, at most about this many, drawn by a hash of the text.
 TRAIN_ROWS = 30_000
+#: Longer texts train nothing (their ends look like those of others); they are scored like all.
+TRAIN_CHARS = 20_000
 HASH = 1 << 18
 EPOCHS, BATCH, RATE, DECAY = 6, 512, 0.15, 1e-6
 #: A length is a limit of a source if it holds this many times the usual number of its rows about that length,
@@ -201,9 +203,10 @@ def _with_limits(texts: DataFrame) -> DataFrame:
 
 def _sample(x: DataFrame) -> pd.DataFrame:
     """About TRAIN_ROWS texts, each at most once, the same for the same input."""
-    total = x.filter("length(text) > 0").count()
+    x = x.filter((F.length("text") > 0) & (F.length("text") <= TRAIN_CHARS))
+    total = x.count()
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    got = x.filter("length(text) > 0").filter(share < min(1.0, TRAIN_ROWS / max(total, 1))).groupBy("text").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"))
+    got = x.filter(share < min(1.0, TRAIN_ROWS / max(total, 1))).groupBy("text").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"))
     return got.limit(2 * TRAIN_ROWS).toPandas().sort_values("text", ignore_index=True)
 
 
