@@ -94,7 +94,7 @@ def joined_names(items: Column, field: str = "display_name") -> Column:
 
 
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
 def first_seen(values: Column) -> Column:

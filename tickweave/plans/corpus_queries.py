@@ -562,6 +562,7 @@ ORACLE = {
     "u8_u13_richest": "SELECT id, rec_id, rich, cites FROM (SELECT id, rec_id, CAST(length(coalesce(abstract, '')) AS INTEGER) AS rich, coalesce(citation_count, 0) AS cites, row_number() OVER (PARTITION BY id ORDER BY length(coalesce(abstract, '')) DESC, coalesce(citation_count, 0) DESC, rec_id) AS rn FROM graph_nodes WHERE id IS NOT NULL) WHERE rn = 1",
     "u10_u11_match": f"WITH {_W}, k AS (SELECT *, {_TK} AS k FROM w WHERE id IS NOT NULL) SELECT x.rec_id AS r, y.rec_id AS s FROM k x JOIN k y ON x.doi = y.doi AND x.rec_id < y.rec_id UNION SELECT x.rec_id, y.rec_id FROM k x JOIN k y ON x.k = y.k AND x.rec_id < y.rec_id WHERE x.k <> '' AND list_has_any(x.authors, y.authors)",
     "u15_update": "SELECT rec_id, CASE WHEN rec_id % 3 = 0 THEN 3 ELSE 1 END AS usage_count FROM feedback_memory",
+    "g1_u7_identity": f"WITH RECURSIVE {_W}, reach AS (SELECT rec_id AS a, rec_id AS b FROM w UNION SELECT r.a, y.rec_id FROM reach r JOIN w x ON x.rec_id = r.b JOIN w y ON x.id = y.id OR x.doi = y.doi), g AS (SELECT a, min(b) AS g FROM reach GROUP BY 1), m AS (SELECT g, count(*) AS n, arg_max(rec_id, ROW(coalesce(cited_by, 0), rec_id)) AS rep, concat_ws(',', CASE WHEN count(doi) > count(DISTINCT doi) THEN 'doi' END, CASE WHEN count(id) > count(DISTINCT id) THEN 'openalex' END) AS methods FROM g JOIN w ON rec_id = a GROUP BY g) SELECT a AS rec_id, n AS group_size, rep AS representative, methods FROM g JOIN m USING (g)",
     "g2_layers": f"WITH {_C}, {_AUTH}, sp AS (SELECT * FROM {_SETS('source', 'target')} WHERE score >= 0.2 - 1e-12) SELECT source, target, 'CITES' AS relation, CAST(1 AS DOUBLE) AS weight FROM c UNION ALL SELECT a, b, 'CITATION_SIMILAR_TO', round(score, 6) FROM {_TOP('sp', 5, 'a, b, score')} UNION ALL SELECT a, b, 'AUTHOR_SHARED_BY', CAST(shared AS DOUBLE) FROM ae",
     "g3_paths": f"WITH {_C}, e AS (SELECT DISTINCT c.target AS u, c.source AS v FROM c JOIN l a ON a.id = c.target JOIN l b ON b.id = c.source WHERE coalesce(b.year >= a.year, true)), p1 AS (SELECT [id, v] AS p FROM l JOIN e ON u = id WHERE year < 2008 AND v <> id), p2 AS (SELECT list_append(p, v) AS p FROM p1 JOIN e ON u = p[2] WHERE NOT list_contains(p, v) AND p[2] NOT IN (SELECT id FROM l WHERE year > 2024)), p3 AS (SELECT list_append(p, v) AS p FROM p2 JOIN e ON u = p[3] WHERE NOT list_contains(p, v) AND p[3] NOT IN (SELECT id FROM l WHERE year > 2024)), a AS (SELECT p, len(p) - 1 AS hops FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) WHERE p[-1] IN (SELECT id FROM l WHERE year > 2024)), i AS (SELECT p, hops, sum(ln(1 + greatest(coalesce(cited_by, 0), 0))) AS impact FROM (SELECT p, hops, unnest(p) AS id FROM a) JOIN l USING (id) GROUP BY ALL) SELECT array_to_string(p, '>') AS pid, CAST(hops AS INTEGER) AS hops, round(impact, 6) AS impact, round(impact / (hops + 1) + 1 / CAST(hops AS DOUBLE), 6) AS score FROM i",
     "g5_roles": f"WITH {_C}, s AS (SELECT id FROM l ORDER BY cited_by DESC NULLS LAST, id LIMIT 10) SELECT id, CASE WHEN id IN (SELECT id FROM s) THEN 'seed' WHEN id IN (SELECT source FROM c WHERE target IN (SELECT id FROM s)) THEN 'derivative' WHEN id IN (SELECT target FROM c WHERE source IN (SELECT id FROM s)) THEN 'prior' ELSE 'related' END AS role FROM l",

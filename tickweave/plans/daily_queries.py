@@ -12,6 +12,7 @@ from tickweave.plans.panels import DAILY, ORDERED, TICKS, daily_returns, rows, t
 
 _FEATURES = ("momentum_sum", "reversal_sum", "mean_return", "volatility", "downside_volatility", "skewness", "kurtosis", "max_return", "min_return", "autocorrelation_lag1", "market_residual_momentum")
 _N, _LEAST = 5, 4
+_SPEC = D.ExperimentSpec("momentum_sum", 2, 2, "2018-01-04", "2018-01-10", max_abs_return=0.5)
 BY = "PARTITION BY ticker ORDER BY date"
 
 
@@ -46,8 +47,7 @@ def d15_evaluation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def d12_d17_experiment(spark: SparkSession, folder: str) -> DataFrame:
-    s = D.ExperimentSpec("momentum_sum", 2, 2, "2018-01-04", "2018-01-10", max_abs_return=0.5)
-    e = s.run(daily_returns(spark, folder))
+    e = _SPEC.run(daily_returns(spark, folder))
     return e.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in e.dtypes))
 
 
@@ -162,7 +162,7 @@ _BASE = (
 )
 _V = {"volume": "coalesce(s, 0)", "volume_flip": "coalesce(-s, 0)", "volume_roll5": f"avg(s) {rows(5)}", "volume_roll20": f"avg(s) {rows(20)}", "volume_z20": _zs("s", 20), "volume_norm5": _dz("s", _STD("s", 5)), "volume_norm20": _dz("s", _STD("s", 20))}
 _R = lambda d, n: ", ".join(f"round({v}, {n}) AS {k}" for k, v in d.items())
-_EVAL = "SELECT round((SELECT avg(rank_ic) FROM {ic}), 6) AS mean_ic, round((SELECT stddev_samp(rank_ic) FROM {ic}), 6) AS std_ic, round((SELECT avg(CAST(rank_ic > 0 AS INTEGER)) FROM {ic}), 6) AS positive_ratio, (SELECT count(*) FROM {ic}) AS n_days, round((SELECT avg(spread) FROM {q}), 6) AS qspread_mean, round((SELECT count(*) FROM {v}) / CAST((SELECT count(label) FROM {m}) AS DOUBLE), 6) AS finite_ratio, (SELECT count(*) FROM {v}) AS n_obs, round((SELECT avg(rank_ic) / stddev_samp(rank_ic) FROM {ic}), 6) AS icir"
+_EVAL = "SELECT round((SELECT avg(rank_ic) FROM {ic}), 6) AS mean_ic, round((SELECT stddev_samp(rank_ic) FROM {ic}), 6) AS std_ic, round((SELECT avg(CAST(rank_ic > 0 AS INTEGER)) FROM {ic}), 6) AS positive_ratio, (SELECT count(*) FROM {ic}) AS n_days, round((SELECT avg(spread) FROM {q}), 6) AS qspread_mean, round((SELECT count(*) FROM {v}) / nullif(CAST((SELECT count(label) FROM {m}) AS DOUBLE), 0), 6) AS finite_ratio, (SELECT count(*) FROM {v}) AS n_obs, round((SELECT avg(rank_ic) / stddev_samp(rank_ic) FROM {ic}), 6) AS icir"
 _BARS = (
     f"s AS (SELECT *, coalesce(last_close, grid_close) AS close FROM ({GRID['p1_series']})), f AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY code, trade_day ORDER BY minute_of_day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c, lead(close) OVER (PARTITION BY code, trade_day ORDER BY minute_of_day) AS nxt FROM s), "
     "g AS (SELECT trade_day || ' ' || minute_of_day AS bar, c / nullif(lag(c, 3) OVER (PARTITION BY code, trade_day ORDER BY minute_of_day), 0) - 1 AS feature, nxt / nullif(close, 0) - 1 AS label FROM f), "
@@ -175,6 +175,7 @@ ORACLE = {
     "d13_rank_ic": f"WITH {_LAB} SELECT date, round(rank_ic, 6) AS rank_ic, n FROM ic",
     "d14_spread": f"WITH {_LAB} SELECT date, round(spread, 7) AS spread FROM q",
     "d15_evaluation": f"WITH {_LAB} " + _EVAL.format(ic="ic", q="q", v="v", m="m"),
+    "d12_d17_experiment": "WITH " + _LAB.replace(">= 5", ">= 2").replace("FROM m WHERE", f"FROM mm WHERE").replace(", v AS (", f", mm AS (SELECT * FROM m WHERE date BETWEEN DATE '{_SPEC.first}' AND DATE '{_SPEC.last}'), v AS (") + f" SELECT *, '{_SPEC.id}' AS experiment_id FROM (" + _EVAL.format(ic="ic", q="q", v="v", m="mm") + ")",
     "d16_axes": f"WITH {DAILY} SELECT date, ticker, 'a' AS only_in FROM daily WHERE ret IS NULL",
     "s2_unpivot": f"WITH {DAILY}, d AS (SELECT DISTINCT date FROM daily), t AS (SELECT CAST(unnest(range(10)) AS INTEGER) AS i) SELECT d.date, CAST(i AS VARCHAR) AS ticker, i AS ticker_ord, round((SELECT round(avg(ret), 9) FROM daily x WHERE x.date = d.date AND right(ticker, 1) = CAST(i AS VARCHAR)), 7) AS ret FROM d, t",
     "h_helpers": f"WITH {_BASE} SELECT seq, {_R(_H, 5)} FROM x",

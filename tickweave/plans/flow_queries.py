@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tickweave.functions import ids as I
 from tickweave.operators import expr as E
 from tickweave.operators import store as S
+from tickweave.plans.daily_queries import _LAB
+from tickweave.plans.panels import TICKS, rows
 from tickweave.plans.corpus_queries import _DOI, _M, _W, _metrics, _works
 from tickweave.runtime import table, work_dir
 from tickweave.sources import tables as T
@@ -213,6 +215,9 @@ ORACLE = {
     "s17_s19_stores": "SELECT coalesce(direction, 'unknown') AS status, count(*) AS n FROM feedback_memory GROUP BY 1",
     "s21_channels": "WITH n AS (SELECT id, coalesce(source, '?') AS source FROM graph_nodes WHERE id IS NOT NULL), f AS (SELECT id, min(source) AS source FROM n GROUP BY 1) SELECT source, coalesce((SELECT count(*) FROM f WHERE f.source = n.source), 0) AS n_first, count(*) AS n, count(DISTINCT id) AS n_ids FROM n GROUP BY source",
     "s13_s23_manifest": "SELECT updated_date, 'shard' AS how FROM (SELECT *, row_number() OVER (ORDER BY updated_date) - 1 AS i FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS updated_date FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-01-31')) WHERE i % 3 = 1 UNION ALL SELECT unnest(['1995-01-01', '1995-01-09', '1995-01-16', '1995-01-23', '1995-01-31']), 'even'",
+    "s8_feeds": "SELECT rec_id, trim(title) AS title, 'https://x.org/' || rec_id AS url FROM graph_nodes WHERE regexp_full_match(title, '[\\w :,.?()-]+')",
+    "s20_s22_experiment": "WITH " + _LAB.replace(">= 5", ">= 2") + " SELECT count(*) AS n_days, round(avg(rank_ic), 6) AS mean_ic FROM ic",
+    "h35_h36_formulas": f"WITH {TICKS} SELECT seq, round((askP1 - bidP1) / (close + CAST(1e-12 AS DOUBLE)), 9) AS spread, round(avg(close) {rows(3)} - last_close, 6) AS trend, round(avg(close) {rows(4)}, 6) AS repaired FROM panel",
     "h38_templates": "SELECT * FROM (SELECT p_brand AS family, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type DESC, p_retailprice DESC, p_partkey) AS INTEGER) AS rank FROM part) WHERE rank <= 2",
     "x1_incremental": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
     "x_windows": "SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

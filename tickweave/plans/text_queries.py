@@ -173,7 +173,7 @@ _DOI_SQL = "nullif(lower(regexp_replace(regexp_extract(trim(doi), '(10\\.\\d{4,9
 _OA = "regexp_replace(regexp_replace(regexp_replace(trim(openalex_id), '/+$', ''), '^.*/', ''), '(?i)^openalex:', '')"
 _OA_SQL = f"CASE WHEN regexp_full_match({_OA}, '(?i)w\\d+') THEN upper({_OA}) END"
 _TITLE_SQL = "regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))), '&lt;', '<'), '&amp;', '&'), '\\([^)]*\\)|\\[[^\\]]*\\]|（[^）]*）|【[^】]*】', '', 'g'), '[\\s\\-_–—]+', '', 'g'), '[^0-9a-z\\x{4e00}-\\x{9fff}]+', '', 'g')"
-_sq = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
+_sq = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g'))"
 _tags = "greatest(coalesce(len(mechanism_tags), 0), 0)"
 ORACLE = {
     "t1_t7_phrases": f"WITH {_P} SELECT rec_id, normal, array_to_string(th, '|') AS title_hits, array_to_string(ah, '|') AS abstract_hits, array_to_string(ca, '|') AS canonical, CAST(4 * len(th) + len(ah) AS BIGINT) AS score FROM h",
@@ -184,6 +184,8 @@ ORACLE = {
     "t21_arxiv": "WITH x AS (SELECT rec_id, nullif(regexp_replace(trim(regexp_replace(trim(arxiv_id), '(?i)^arxiv:\\s*', '')), '(?i)v\\d+$', ''), '') AS arxiv_id FROM preprints) SELECT rec_id, arxiv_id, regexp_extract(arxiv_id, '(\\d{4}\\.\\d{4,5})', 1) AS first_arxiv, 'arxiv:' || arxiv_id AS canonical FROM x",
     "t25_urls": "SELECT rec_id, lower('https://example.org' || CASE WHEN regexp_replace(id, '[^0-9A-Za-z]', '', 'g') = '' THEN '' ELSE '/' || regexp_replace(id, '[^0-9A-Za-z]', '', 'g') END || '?b=2&a=1') AS url FROM graph_nodes WHERE id IS NOT NULL",
     "t26_t27_keys": f"WITH x AS (SELECT rec_id, {_TITLE_SQL} AS title_key, {_DOI_SQL} AS doi FROM works) SELECT rec_id, title_key, concat_ws(',', sha256('doi:' || doi), sha256('title:' || nullif(title_key, ''))) AS keys FROM x",
+    "t28_embedding_text": f"WITH x AS (SELECT rec_id, {_sq('title')} AS t, {_sq('abstract')} AS a, list_filter(list_transform(coalesce(authors, []), lambda v: trim(regexp_replace(coalesce(v, ''), '\\s+', ' ', 'g'))), lambda v: v <> '') AS k FROM graph_nodes), y AS (SELECT *, list_filter(k, lambda v, i: list_position(list_transform(k, lambda u: lower(u)), lower(v)) = i) AS d FROM x) SELECT rec_id, concat_ws(chr(10), CASE WHEN t <> '' THEN 'Title: ' || t END, CASE WHEN a <> '' THEN 'Abstract: ' || a END, CASE WHEN len(d) > 0 THEN 'Keywords: ' || array_to_string(d, '; ') END) AS text, CASE WHEN t <> '' AND (a <> '' OR len(d) > 0) THEN 'A' WHEN t <> '' THEN 'B' ELSE 'C' END AS quality FROM y",
+    "t34_t35_json": "SELECT rec_id, metadata->>'$.track' AS track, CASE WHEN coalesce(trim(metadata->>'$.track'), '') = '' THEN 'null' ELSE 'text' END AS kind, array_to_string(list_sort(list_transform(json_keys(metadata), lambda k: lower(json_extract_string(metadata, '$.\"' || k || '\"')))), ' ') AS flat FROM graph_nodes",
     "t29_dates": "SELECT rec_id, CAST(floor(epoch(added_at)) AS BIGINT) AS epoch, coalesce(date_trunc('second', added_at) >= TIMESTAMP '2025-05-02', true) AS recent, CAST(added_at AS DATE) BETWEEN DATE '2025-05-01' AND DATE '2025-05-31' AS in_month FROM graph_nodes",
     "t31_t33_evidence": "WITH e AS (SELECT rec_id, paper_id, CAST(" + " + ".join(f"CAST(contains(lower(quote), '{k}') AS INTEGER)" for k in ("order", "price", "volume", "spread")) + " AS INTEGER) AS score, section IS NULL AS section_missing FROM evidence WHERE paper_id IS NOT NULL AND quote IS NOT NULL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, rec_id) AS INTEGER) AS rank FROM e) WHERE rank <= 8",
     "t36_t37_tokens": f"SELECT rec_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9_-]*'))), ' ') AS tokens, array_to_string(list_filter(regexp_extract_all(lower(title), '[a-z][a-z-]+'), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(repr(s) for s in STOP)})), ' ') AS title_tokens, CAST(greatest(1, round_even(length(title) / CAST(4 AS DOUBLE), 0)) AS INTEGER) AS token_estimate FROM graph_nodes WHERE {_ascii}",
