@@ -189,7 +189,8 @@ def test_truncation_held_out(spark):
     assert len(s) == len(rows) and s[9000] == s[9001] == s[9002] == 0 and s[9003] < 0.5
     found = {k for k, v in s.items() if v >= 0.5 and k < 9000}
     assert len(found & cut) / len(cut) > 0.93 and len(found & cut) / len(found) > 0.93
-    lim = {x["source"]: x["chars"] for x in T.source_limits(df.select("tab", F.coalesce("source", F.lit("")).alias("source"), "rec_id", "text")).collect()}
+    lim = {x["source"]: x["chars"] for x in
+           T.source_limits(df.select("tab", F.coalesce("source", F.lit("")).alias("source"), "rec_id", "text")).collect()}
     assert 200 in lim["capped"] and 200 not in lim.get("free", [])
     rep = {x["source"]: x for x in T.report(T.truncated(df)).collect()}
     assert rep["capped"]["share"] > rep["free"]["share"]

@@ -24,6 +24,8 @@ EPOCHS, BATCH, RATE, DECAY = 6, 512, 0.15, 1e-6
 #: A length is a limit of a source if it holds this many times the usual number of its rows about that length,
 #: and at least this share of them; the strongest LIMITS of a source count.
 LIMIT_TIMES, LIMIT_SHARE, LIMITS = 6.0, 0.004, 24
+#: The same share for the bytes of Han and kana texts, of which only every third number is common anyway.
+LIMIT_SHARE_CJK = 0.06
 THRESHOLD = 0.5
 #: What a cut may leave behind it.
 MARKS = ("...", "…", "[...]", "[…]", " ...", " …", " [...]", "(...)", "-", "<p", "</", "<br", "&amp", "&am", "&lt", "&n", "\\", "\\u00", "\\u2", "�")
@@ -35,6 +37,7 @@ _SENTENCE = re.compile(rf"[{re.escape(TERMINAL)}][{re.escape(_CLOSERS)}]*(?=\s|$
 _LABEL_LINE = re.compile(r"\n\s*\w[\w ]{0,30}[:：][^\n]*$")
 _MARKED = re.compile(r"(\.\.\.|…|\[\s*(\.\.\.|…)\s*\]|\(\s*\.\.\.\s*\)|<\/?[a-z]*|&[a-z#0-9]{0,6}|\\(?:u[0-9a-fA-F]{0,4})?|�)$")
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+_CJK_SQL = r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
@@ -175,29 +178,30 @@ def score(w: np.ndarray, rows: list[list[int]]) -> np.ndarray:
 
 
 def source_limits(texts: DataFrame) -> DataFrame:
-    """(tab, source, chars, bytes): the lengths at which the texts of a source pile up, in characters and in bytes.
+    """(tab, source, cjk, chars, bytes): the lengths at which the texts of a source pile up, in characters and in bytes,
+    for texts in Han or kana and for others (the same field holds fewer of their characters).
     From a histogram of all lengths, in which the copies of a text count once; at most LIMITS of either."""
-    once = texts.filter("text is not null").groupBy("tab", "source", F.xxhash64("text")).agg(F.first(F.length("text")).alias("chars"), F.first(F.octet_length("text")).alias("bytes"))
+    once = texts.filter("text is not null").groupBy("tab", "source", F.col("text").rlike(_CJK_SQL).alias("cjk"), F.xxhash64("text")).agg(F.first(F.length("text")).alias("chars"), F.first(F.octet_length("text")).alias("bytes"))
 
     def piles(length: Column, name: str) -> DataFrame:
-        h = once.groupBy("tab", "source", length.alias("l")).agg(F.count("*").alias("n")).filter("l > 20")
-        about = W.partitionBy("tab", "source").orderBy("l").rangeBetween(-40, 40)
-        all_ = W.partitionBy("tab", "source")
+        h = once.groupBy("tab", "source", "cjk", length.alias("l")).agg(F.count("*").alias("n")).filter("l > 20")
+        about = W.partitionBy("tab", "source", "cjk").orderBy("l").rangeBetween(-40, 40)
+        all_ = W.partitionBy("tab", "source", "cjk")
         h = h.select("*", F.expr("percentile(n, 0.5)").over(about).alias("mid"), F.count("*").over(about).alias("seen"), F.sum("n").over(all_).alias("all"))
         h = h.withColumn("mid", F.when(F.col("seen") < 41, F.lit(1.0)).otherwise(F.col("mid")))
-        h = h.filter((F.col("n") >= F.greatest(LIMIT_TIMES * F.col("mid"), LIMIT_SHARE * F.col("all"), F.lit(8.0))))
+        h = h.filter((F.col("n") >= F.greatest(LIMIT_TIMES * F.col("mid"), F.when(F.col("cjk") & F.lit(name == "bytes"), LIMIT_SHARE_CJK).otherwise(LIMIT_SHARE) * F.col("all"), F.lit(8.0))))
         h = h.withColumn("r", F.row_number().over(all_.orderBy(F.desc("n"), "l"))).filter(F.col("r") <= LIMITS)
-        return h.groupBy("tab", "source").agg(F.sort_array(F.collect_list("l")).alias(name))
+        return h.groupBy("tab", "source", "cjk").agg(F.sort_array(F.collect_list("l")).alias(name))
 
-    both = piles(F.col("chars"), "chars").join(piles(F.col("bytes"), "bytes"), ["tab", "source"], "full")
+    both = piles(F.col("chars"), "chars").join(piles(F.col("bytes"), "bytes"), ["tab", "source", "cjk"], "full")
     none = F.array().cast("array<int>")
-    return both.select("tab", "source", F.coalesce("chars", none).alias("chars"), F.coalesce("bytes", none).alias("bytes"))
+    return both.select("tab", "source", "cjk", F.coalesce("chars", none).alias("chars"), F.coalesce("bytes", none).alias("bytes"))
 
 
 def _with_limits(texts: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     lim = written(source_limits(texts), "limits")
-    x = texts.join(lim, ["tab", "source"], "left")
+    x = texts.withColumn("cjk", F.col("text").rlike(_CJK_SQL)).join(lim, ["tab", "source", "cjk"], "left")
     return x.select("tab", "source", "rec_id", "text", F.coalesce("chars", none).alias("chars"), F.coalesce("bytes", none).alias("bytes"))
 
 
