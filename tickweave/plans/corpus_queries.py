@@ -430,7 +430,7 @@ def g1_u7_identity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g2_layers(spark: SparkSession, folder: str) -> DataFrame:
-    """The paper graph: citations, common references and common authors in one edge table, each edge once."""
+    """Layers of one graph: citations, common references and common authors in one edge table, each edge once."""
     w = _latest(spark, folder).select("id")
     direct = G.bounded_citations(_refs(spark, folder), w).withColumns({"relation": F.lit("CITES"), "weight": F.lit(1.0)})
     sim = G.top_k(G.set_cosine_pairs(_refs(spark, folder), "source", "target", 0.2), 5).select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("CITATION_SIMILAR_TO").alias("relation"), F.round("score", 6).alias("weight"))

@@ -94,13 +94,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", parts: int = 1000) -> DataFrame:
-    """Rows of ``counts`` (one per key, with its number ``n`` of rows) whose key holds more than a
-    ``parts``-th of all rows: at most ``parts`` of them, whatever the data, so they may be broadcast."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.filter(F.col(n) > F.lit(total / parts)).select(*keys)
-
-
 def skew_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, parts: int = 1000) -> DataFrame:
     """Inner join of ``big`` with ``small`` (one row per key, ``n`` = rows of the key in ``big``).
     Keys above a ``parts``-th of all rows are joined by broadcast (at most ``parts`` rows), so that no
