@@ -62,11 +62,19 @@ def s5_s6_json_lines(spark: SparkSession, folder: str) -> DataFrame:
     return good.crossJoin(F.broadcast(T.broken_lines(spark, p, schema).agg(F.count("*").alias("n_broken"))))  # one row each
 
 
-def s8_feeds(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries of an RSS document per node."""
-    n = table(spark, folder, "graph_nodes").filter(F.col("title").rlike(r"^[\w :,.?()-]+$")).select("rec_id", "title")
+def _feed_rows(nodes: DataFrame) -> DataFrame:
     xml = F.concat(F.lit("<rss><channel><item><title>"), "title", F.lit("</title><link>https://x.org/"), F.col("rec_id").cast("string"), F.lit("</link><pubDate>Mon, 06 Jan 2025 10:00:00 GMT</pubDate></item></channel></rss>"))
-    return T.feeds(n.select(F.col("rec_id").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content"))).select(F.col("path").cast("long").alias("rec_id"), "title", "url")
+    return T.feeds(nodes.select(F.col("rec_id").cast("string").alias("path"), F.encode(xml, "UTF-8").alias("content"))).select(F.col("path").cast("long").alias("rec_id"), "title", "url")
+
+
+def s8_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of an RSS document per node with a plain title, the part of ``s8_feeds_all`` that SQL can compare."""
+    return _feed_rows(table(spark, folder, "graph_nodes").filter(F.col("title").rlike(r"^[\w :,.?()-]+$")).select("rec_id", "title"))
+
+
+def s8_feeds_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of an RSS document per node; a missing title is an empty one."""
+    return _feed_rows(table(spark, folder, "graph_nodes").select("rec_id", T.xml_text(F.coalesce("title", F.lit(""))).alias("title")))
 
 
 def s14_s15_products(spark: SparkSession, folder: str) -> DataFrame:

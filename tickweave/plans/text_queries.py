@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.functions import ids as I
@@ -23,24 +23,44 @@ def _works(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "works").select("rec_id", "openalex_id", "title", "doi", "publication_year", "authors")
 
 
-def t1_t7_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    """Normal form, phrases per field, aliases and weighted score of each node with an ASCII title."""
-    n = _nodes(spark, folder).filter(F.col("title").rlike(r"^[\x00-\x7F]+$"))
-    t, a = X.match_text(F.col("title")), X.match_text(F.when(F.col("abstract").rlike(r"^[\x00-\x7F]+$"), F.col("abstract")))
+def _phrases(nodes: DataFrame, title: Column, abstract: Column) -> DataFrame:
+    t, a = X.match_text(title), X.match_text(abstract)
     found, score = X.weighted_hits({"title": (F.col("t"), 4), "abstract": (F.coalesce("a", F.lit("")), 1)}, PHRASES)
     al = X.aliases(F.col("t"), ALIASES)
-    return n.select("rec_id", t.alias("t"), a.alias("a")).select("rec_id", F.col("t").alias("normal"), F.array_join(found["title"], "|").alias("title_hits"), F.array_join(found["abstract"], "|").alias("abstract_hits"), F.array_join(al["canonical"], "|").alias("canonical"), score.cast("long").alias("score"))
+    return nodes.select("rec_id", t.alias("t"), a.alias("a")).select("rec_id", F.col("t").alias("normal"), F.array_join(found["title"], "|").alias("title_hits"), F.array_join(found["abstract"], "|").alias("abstract_hits"), F.array_join(al["canonical"], "|").alias("canonical"), score.cast("long").alias("score"))
 
 
-def t8_t12_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """A decision list over phrase scores, the profile chosen by name, and the status before and after."""
+def t1_t7_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Normal form, phrases per field, aliases and weighted score of each node with an ASCII title: the part of
+    ``t1_t7_phrases_all`` that SQL, which can't fold Unicode, can compare."""
+    n = _nodes(spark, folder).filter(F.col("title").rlike(r"^[\x00-\x7F]+$"))
+    return _phrases(n, F.col("title"), F.when(F.col("abstract").rlike(r"^[\x00-\x7F]+$"), F.col("abstract")))
+
+
+def t1_t7_phrases_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Normal form, phrases per field, aliases and weighted score of each node; a missing text is an empty one."""
+    return _phrases(_nodes(spark, folder), F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
+
+
+def _decisions(phrases: DataFrame) -> DataFrame:
     profiles = {"loose": 1, "strict": 3}
-    x = t1_t7_phrases(spark, folder).withColumn("n", F.size(F.split("title_hits", r"\|")))
+    x = phrases.withColumn("n", F.size(F.split("title_hits", r"\|")))
     one = lambda least: X.decision_list([(F.col("title_hits") == "", "rejected", "no_phrase"), (F.col("score") >= 4 * least, "accepted", "score"), (F.col("score") > 0, "review", "weak")], ("rejected", "other"))
     before, after = (one(profiles[p]) for p in ("loose", "strict"))
     return x.select("rec_id", before["status"].alias("previous_status"), after["status"].alias("status"), after["reason"].alias("reason"))
 
 
+def t8_t12_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """A decision list over phrase scores, the profile chosen by name, and the status before and after; of the nodes
+    of ``t1_t7_phrases``."""
+    return _decisions(t1_t7_phrases(spark, folder))
+
+
+def t8_t12_decisions_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of each node."""
+    return _decisions(t1_t7_phrases_all(spark, folder))
+
+
 def t13_t16_t50_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Word-bounded terms, a regex class and a gate of the documents."""
     d = table(spark, folder, "documents").select("doc_id", "text")
@@ -125,9 +145,18 @@ def t34_t35_json(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("rec_id", F.get_json_object("metadata", "$.track").alias("track"), k["kind"].alias("kind"), values.alias("flat"))
 
 
+def _tokens(nodes: DataFrame) -> DataFrame:
+    return nodes.select("rec_id", F.array_join(F.array_sort(X.tokens(F.col("title"))), " ").alias("tokens"), F.array_join(X.title_tokens(F.col("title"), STOP), " ").alias("title_tokens"), X.token_estimate(F.col("title")).alias("token_estimate"))
+
+
 def t36_t37_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    n = _nodes(spark, folder).filter(F.col("title").rlike(r"^[\x00-\x7F]+$"))
-    return n.select("rec_id", F.array_join(F.array_sort(X.tokens(F.col("title"))), " ").alias("tokens"), F.array_join(X.title_tokens(F.col("title"), STOP), " ").alias("title_tokens"), X.token_estimate(F.col("title")).alias("token_estimate"))
+    """Tokens of each node with an ASCII title, the part of ``t36_t37_tokens_all`` that SQL can compare."""
+    return _tokens(_nodes(spark, folder).filter(F.col("title").rlike(r"^[\x00-\x7F]+$")))
+
+
+def t36_t37_tokens_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens, title tokens and estimated number of tokens of each node; a missing title is an empty one."""
+    return _tokens(_nodes(spark, folder).withColumn("title", F.coalesce("title", F.lit(""))))
 
 
 def t38_hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,4 +220,4 @@ ORACLE = {
     "t36_t37_tokens": f"SELECT rec_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9_-]*'))), ' ') AS tokens, array_to_string(list_filter(regexp_extract_all(lower(title), '[a-z][a-z-]+'), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(repr(s) for s in STOP)})), ' ') AS title_tokens, CAST(greatest(1, round_even(length(title) / CAST(4 AS DOUBLE), 0)) AS INTEGER) AS token_estimate FROM graph_nodes WHERE {_ascii}",
     "t40_t49_scores": f"SELECT rec_id, CASE WHEN daily_rankic IS NOT NULL THEN printf('%.2f', floor(abs(daily_rankic) * 100 + CAST(1e-9 AS DOUBLE)) / 100) END AS bucket, CASE WHEN daily_rankic IS NULL THEN 'inconclusive' WHEN daily_rankic >= 0.02 THEN 'supported' ELSE 'refuted' END AS verdict, concat_ws(',', CASE WHEN coalesce(trim(reason), '') = '' THEN 'no_reason' END, CASE WHEN {_tags} <= 0 THEN 'no_tags' END, CASE WHEN coalesce(direction, 'unknown') = 'unknown' THEN 'no_direction' END) AS faults, round(CASE WHEN daily_rankic > 0 AND {_tags} > 0 THEN (daily_rankic * 100 + {_tags}) / 2 WHEN daily_rankic > 0 THEN daily_rankic * 100 WHEN {_tags} > 0 THEN {_tags} ELSE 0.5 END, 2) AS gate, CAST(least(10, 3 * {_tags}) AS INTEGER) AS capped, coalesce(label IN ('positive', 'warning'), false) AS stored FROM feedback_memory",
 }
-QUERIES = {f.__name__: f for f in (t1_t7_phrases, t8_t12_decisions, t13_t16_t50_terms, t18_topics, t19_t24_ids, t21_arxiv, t25_urls, t26_t27_keys, t28_embedding_text, t29_dates, t30_chunks, t31_t33_evidence, t34_t35_json, t36_t37_tokens, t38_hash_embedding, t39_best_match, t40_t49_scores, s10_documents)}
+QUERIES = {f.__name__: f for f in (t1_t7_phrases, t1_t7_phrases_all, t8_t12_decisions, t8_t12_decisions_all, t13_t16_t50_terms, t18_topics, t19_t24_ids, t21_arxiv, t25_urls, t26_t27_keys, t28_embedding_text, t29_dates, t30_chunks, t31_t33_evidence, t34_t35_json, t36_t37_tokens, t36_t37_tokens_all, t38_hash_embedding, t39_best_match, t40_t49_scores, s10_documents)}

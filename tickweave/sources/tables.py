@@ -104,6 +104,15 @@ def feed_entries(payload: bytes) -> list[dict[str, str]]:
     return out
 
 
+def xml_text(c: Column) -> Column:
+    """Text as XML character data: marks escaped, a carriage return by number; characters that no XML 1.0 document
+    may hold are left out."""
+    t = F.regexp_replace(c, r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
 def feeds(files: DataFrame) -> DataFrame:
     """Entries of binary files (path, content) that hold feeds; others give none."""
 
