@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tickweave.functions import ids as I
 from tickweave.functions import text as X
-from tickweave.runtime import table
+from tickweave.operators.fuzzy import fuzzy_pairs
+from tickweave.runtime import table, written
 
 PHRASES = ("order flow", "order book", "limit order", "price impact", "queue positions", "fill rates", "volume shocks", "market depth", "noise trading", "hawkes kernels", "alpha decay")
 ALIASES = {"limit order": "order book", "order book": "order book", "order flow": "order flow", "signed volume": "order flow", "market depth": "liquidity", "fill rates": "liquidity"}
@@ -166,12 +167,16 @@ def t38_hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t39_best_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Best work for each preprint title among the works with the same first three words, at a ratio of 0.94 or more."""
-    key = lambda c: F.array_join(F.slice(F.split(F.lower(F.trim(c)), r"\s+"), 1, 3), " ")
-    p = table(spark, folder, "preprints").select("rec_id", F.lower("title").alias("pt"), key(F.col("title")).alias("k")).filter("pt is not null")
-    w = table(spark, folder, "works").select(F.col("rec_id").alias("work_rec"), F.lower("title").alias("wt"), key(F.col("title")).alias("k")).filter("wt is not null")
-    x = p.join(w, "k").withColumn("ratio", X.fuzzy_ratio(F.col("pt"), F.col("wt"))).filter("ratio >= 0.94")
-    return x.groupBy("rec_id").agg(F.max(F.struct("ratio", (-F.col("work_rec")).alias("w"))).alias("b")).select("rec_id", (-F.col("b.w")).alias("work_rec"), F.round("b.ratio", 6).alias("ratio"))
+    """Best work for each preprint title among all works, at a ratio of 0.94 or more, ties to the least. Each title is
+    compared once; one that a work has literally needs no other."""
+    p = table(spark, folder, "preprints").select("rec_id", F.lower("title").alias("text")).filter("text is not null")
+    w = table(spark, folder, "works").select("rec_id", F.lower("title").alias("text")).filter("text is not null")
+    one = lambda d: d.groupBy("text").agg(F.min("rec_id").alias("id"))
+    a, b = written(one(p), "titles"), written(one(w), "titles")
+    same = a.join(b.select("text", F.col("id").alias("b_id")), "text").select(F.col("id").alias("a_id"), "b_id", F.lit(1.0).alias("ratio"))
+    x = same.unionByName(fuzzy_pairs(a.join(b, "text", "left_anti"), b, 0.94))
+    best = x.groupBy("a_id").agg(F.max(F.struct("ratio", (-F.col("b_id")).alias("w"))).alias("b"))
+    return p.join(a.withColumnRenamed("id", "a_id"), "text").join(best, "a_id").select("rec_id", (-F.col("b.w")).alias("work_rec"), F.round("b.ratio", 6).alias("ratio"))
 
 
 def t40_t49_scores(spark: SparkSession, folder: str) -> DataFrame:
