@@ -3,78 +3,80 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tickweave.runtime import written
+BLOCK_ROWS = 2048
+_LETTERS, _PAIRS = 40, 256  # classes of letters and of pairs of letters; a shared class only weakens the bounds
 
-_EPS = 1e-9
-_WIDTH = 16  # of the buckets of places
 
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(t) for t in texts])
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), n)
+    own = row[1:] == row[:-1]
+    one = np.bincount(row * _LETTERS + code % _LETTERS, minlength=len(texts) * _LETTERS)
+    two = np.bincount((row[1:] * _PAIRS + (code[:-1] * 31 + code[1:]) % _PAIRS)[own], minlength=len(texts) * _PAIRS)
+    return one.reshape(-1, _LETTERS), two.reshape(-1, _PAIRS)
 
-def _worst(n: int, least: float) -> int:
-    """Most letters that a text of ``n`` and any text at a ratio of ``least`` or more leave unmatched on both sides."""
-    return int((1 - least) * 2 / least * n + _EPS)
 
+def _steps(m: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Counts as ones up to the count, so that a product of two rows is the sum of the smaller counts."""
+    return np.concatenate([m[:, c : c + 1] > np.arange(top[c]) for c in range(m.shape[1])], axis=1).astype(np.float32)
 
-def _q(n: int, least: float) -> int:
-    """Length of the pieces that a text of ``n`` falls into: the largest of which two must survive, else one."""
-    for spare in (2, 1):
-        for q in (6, 4, 2, 1):
-            if n // q - _worst(n, least) >= spare:
-                return q
-    return 1
 
+def _survivors(t: list[str], u: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    (x1, x2), (y1, y2) = _counts(t), _counts(u)
+    la, lb = (np.array([len(s) for s in v], float) for v in (t, u))
+    top = np.minimum(x1.max(axis=0), y1.max(axis=0))
+    common = _steps(np.minimum(x1, top), top) @ _steps(np.minimum(y1, top), top).T
+    i, j = np.nonzero(common >= (least / 2 * la[:, None] + least / 2 * lb[None, :] - 0.01).astype(np.float32))
+    keep = [np.zeros(0, bool)]
+    for s in range(0, len(i), 65536):
+        p, q = i[s : s + 65536], j[s : s + 65536]
+        m = least / 2 * (la[p] + lb[q])
+        keep.append(np.minimum(x2[p], y2[q]).sum(axis=1) >= la[p] - 1 - 2 * (la[p] - m) - (lb[q] - m) - 0.01)
+    k = np.concatenate(keep)
+    return i[k], j[k]
 
-def fuzzy_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """(a_id, b_id, ratio) of all texts of ``a`` and ``b`` (id, text; text not null) at a ratio of ``least`` or more.
-
-    A ratio of ``least`` leaves at most k = (1 - least)(|a| + |b|) letters unmatched. Cut into n pieces of one length,
-    ``b`` has at most k that one of those letters touches; the other n - k stand in ``a``, moved by no more than k
-    allows. So pairs with that many common pieces are all that can reach ``least``; difflib confirms them. Two empty
-    texts are a pair."""
-    if least <= 2 / 3:
-        raise ValueError("a ratio above 2/3; below, no piece need survive")
-    kind_a, kind_b = a.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString()
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = []
-            for i, t in zip(x["id"], x["text"]):
-                n, k = len(t), _worst(len(t), least)
-                longest = int(n * (2 - least) / least + _EPS)
-                for q in {_q(m, least) for m in range(max(1, int(n * least / (2 - least))), longest + 1)}:
-                    for s in range(n - q + 1):
-                        rows += [(i, n, s, f"{q}:{c}:{t[s:s + q]}") for c in range(max(0, s - k) // _WIDTH, (s + k) // _WIDTH + 1)]
-            yield pd.DataFrame(rows, columns=["a_id", "na", "s", "key"])
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = []
-            for i, t in zip(x["id"], x["text"]):
-                q = _q(len(t), least)
-                rows += [(i, len(t), len(t) // q, p, f"{q}:{p // _WIDTH}:{t[p:p + q]}") for p in range(0, len(t) // q * q, q)]
-            yield pd.DataFrame(rows, columns=["b_id", "nb", "pieces", "p", "key"])
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out = []
-            for i, j, t, u in zip(x["a_id"], x["b_id"], x["t"], x["u"]):
-                m = difflib.SequenceMatcher(None, t, u)
-                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (r := m.ratio()) >= least:
-                    out.append((i, j, r))
-            yield pd.DataFrame(out, columns=["a_id", "b_id", "ratio"])
+def fuzzy_pairs(a: DataFrame, b: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a_id, b_id, ratio) of all texts of ``a`` and ``b`` (id, text; text not null) at a ratio of ``least`` or more.
 
-    x = written(a.select("id", "text").mapInPandas(places, f"a_id {kind_a}, na int, s int, key string"), "places")
-    y = written(b.select("id", "text").mapInPandas(pieces, f"b_id {kind_b}, nb int, pieces int, p int, key string"), "pieces")
-    k = F.floor((1 - least) * (F.col("na") + F.col("nb")) + _EPS)
-    moved = F.col("s") - F.col("p")
-    hits = x.join(y, "key").filter((2 * F.least("na", "nb") >= least * (F.col("na") + F.col("nb")) - _EPS) & (F.abs(moved) + F.abs(F.col("na") - F.col("nb") - moved) <= k))
-    cand = hits.groupBy("a_id", "b_id", (F.col("pieces") - k).alias("need")).agg(F.countDistinct("p").alias("n")).filter("n >= need").select("a_id", "b_id")
-    texts = cand.join(a.select(F.col("id").alias("a_id"), F.col("text").alias("t")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("text").alias("u")), "b_id")
-    found = texts.select("a_id", "b_id", "t", "u").mapInPandas(confirm, f"a_id {kind_a}, b_id {kind_b}, ratio double")
+    At a ratio of ``least`` the lengths differ by a factor of (2 - least) / least at most, the texts have
+    least (|a| + |b|) / 2 letters in common (a bound that is a matrix product), and each letter that is unmatched
+    spoils at most two pairs of neighbours. Only texts in near bands of length meet, in blocks, and what passes these
+    bounds is left to difflib. Two empty texts are a pair."""
+    if not 0 < least < 1:
+        raise ValueError("a ratio between 0 and 1")
+    kinds = [d.schema["id"].dataType.simpleString() for d in (a, b)]
+    ta, tb = (to_arrow_type(d.schema["id"].dataType) for d in (a, b))
+    width = math.log((2 - least) / least) * (1 + 1e-9)
+    na, nb = (max(1, -(-d.count() // block_rows)) for d in (a, b))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    band = F.floor(F.ln(F.length("text")) / width)
+    x = a.filter("text != ''").select(F.col("id").alias("a_id"), F.col("text").alias("t"), band.alias("own"), part(na).alias("i")).select("*", every(nb).alias("j")).select("*", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)).alias("band")).drop("own")
+    y = b.filter("text != ''").select(F.col("id").alias("b_id"), F.col("text").alias("u"), band.alias("bb"), part(nb).alias("bj")).select("*", every(na).alias("bi"))
+
+    def meet(l: pa.Table, r: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if l.num_rows and r.num_rows:
+            (p, t), (q, u) = ([c.to_pylist() for c in (z.column(0), z.column(1))] for z in (l.select(["a_id", "t"]), r.select(["b_id", "u"])))
+            for i, j in zip(*_survivors(t, u, least)):
+                m = difflib.SequenceMatcher(None, t[i], u[j])
+                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (w := m.ratio()) >= least:
+                    for o, v in zip(out, (p[i], q[j], w)):
+                        o.append(v)
+        none = pa.array([], pa.null())
+        ids = [pa.array(o) if o else none for o in out[:2]]
+        return pa.table({"a_id": ids[0].cast(ta), "b_id": ids[1].cast(tb), "ratio": pa.array(out[2], pa.float64())})
+
+    found = x.groupBy("band", "i", "j").cogroup(y.groupBy("bb", "bi", "bj")).applyInArrow(meet, f"a_id {kinds[0]}, b_id {kinds[1]}, ratio double")
     none = a.filter("text = ''").select(F.col("id").alias("a_id")).join(b.filter("text = ''").select(F.col("id").alias("b_id"))).select("a_id", "b_id", F.lit(1.0).alias("ratio"))
     return found.unionByName(none)
