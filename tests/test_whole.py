@@ -1,11 +1,13 @@
 """Queries and operators over all of their rows, against brute force on small fixtures."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickweave.functions import text as X
-from tickweave.plans import flow_queries, text_queries
+from tickweave.plans import corpus_queries, flow_queries, select_queries, text_queries
 
 TITLES = ["Order-flow & Price Impact", "Ｏrder–Flow <Imbalance>", "Straße: limit order", "市场 market depth", "a\x0bb \"queue positions\"", "  ", "x ", None]
 
@@ -47,3 +49,34 @@ def test_every_node_has_a_feed_entry(spark, nodes):
     folder, rows = nodes
     got = {r["rec_id"]: (r["title"], r["url"]) for r in flow_queries.s8_feeds_all(spark, folder).collect()}
     assert got == {r[0]: ((r[2] or "").replace("\x0b", "").strip(), f"https://x.org/{r[0]}") for r in rows}
+
+
+def test_edges_of_every_nation_and_segment(spark, tmp_path):
+    r = random.Random(1)
+    people = [(i, i % 5, ("BUILDING", "MACHINERY")[i % 2]) for i in range(60)]
+    orders = [(r.randrange(60), r.choice("12345")) for _ in range(300)]
+    spark.createDataFrame(people, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(orders, "o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    keys = {i: {p for o, p in orders if o == i} for i, _, _ in people}
+    want = {(a, b): len(keys[a] & keys[b]) for a, na, sa in people for b, nb, sb in people if a < b and (na, sa) == (nb, sb) and len(keys[a] & keys[b]) >= 3}
+    got = {(x["a"], x["b"]): x["shared"] for x in corpus_queries.j13_keyword_edges_all(spark, str(tmp_path)).collect()}
+    assert got == want and {people[a][1] for a, _ in got} == {0, 1, 2, 3, 4}
+
+
+def test_all_metrics_go_through_the_files(spark, tmp_path):
+    rows = [(i, i % 9, 1, 1000 * i, 0.05, 100.0, 5.0, 0.04) for i in range(1, 8)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_orderkey long, l_discount double, l_extendedprice double, l_quantity double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = flow_queries.s4_metric_files_all(spark, str(tmp_path)).groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    assert {x["kind"]: x["n"] for x in got} == {"parquet": 7, "csv": 7, "jsonl": 7}
+
+
+def test_context_of_all_records(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, "x" * r.randrange(0, 60) if i % 11 else None, r.choice(["positive", "negative", None])) for i in range(400)]
+    spark.createDataFrame(rows, "rec_id long, reason string, direction string").repartition(5).write.parquet(str(tmp_path / "feedback_memory.parquet"))
+    want, upto = set(), 0
+    for i, s, d in sorted((x for x in rows if x[1] is not None), key=lambda x: (["positive", "negative", None].index(x[2]), x[0])):
+        upto += len(s)
+        if upto <= 2000:
+            want.add((i, d or "unknown", upto))
+    assert {tuple(x) for x in select_queries.r27_context_all(spark, str(tmp_path)).collect()} == want and max(i for i, *_ in want) > 60

@@ -85,6 +85,17 @@ def shared_keys(rows: DataFrame, ident: str, key: str) -> DataFrame:
     return x.withColumnRenamed("id", "a").join(x.withColumnRenamed("id", "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def class_shared_keys(rows: DataFrame, ident: str, key: str, least: int) -> DataFrame:
+    """(a, b, shared) of every two things with ``least`` common keys or more, a < b. Things of equal keys are a class;
+    keys are counted between classes, and only classes near enough meet with their members."""
+    x = rows.select(F.col(ident).alias("id"), F.lower(F.trim(F.col(key).cast("string"))).alias("k")).filter("id is not null and k != ''").distinct()
+    sets = written(x.groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("keys")), "key-sets").filter(F.size("keys") >= least)
+    keys = sets.select("keys").distinct().select("keys", F.explode("keys").alias("k"))
+    near = keys.withColumnRenamed("keys", "ka").join(keys.withColumnRenamed("keys", "kb"), "k").groupBy("ka", "kb").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    l, r = (sets.select(F.col("id").alias(i), F.col("keys").alias(k)) for i, k in (("a", "ka"), ("b", "kb")))
+    return near.join(l, "ka").join(r, "kb").filter("a < b").select("a", "b", "shared")
+
+
 def bounded_citations(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, target) citations whose two ends are nodes; no loops, each once."""
     n = nodes.select(F.col(nodes.columns[0]).alias("id")).distinct()

@@ -55,10 +55,16 @@ def balanced(df: DataFrame, kind: Column, order: Sequence[Column], recent: Colum
 
 
 def within_size(df: DataFrame, tiers: Sequence[str], tier: str, order: str, text: str, most: int) -> DataFrame:
-    """Records that fit into ``most`` characters when tiers go, the last-named first, each from its tail."""
+    """Records that fit into ``most`` characters when tiers go, the last-named first, each from its tail.
+
+    Rows go into parts by their order; a running sum over the parts' sizes and one inside each part make the whole."""
     keep = F.array_position(F.array(*map(F.lit, tiers)), F.col(tier))
-    size = F.sum(F.length(text)).over(W.orderBy("__t", order).rowsBetween(W.unboundedPreceding, 0))  # a context is a small table
-    return df.withColumn("__t", keep).withColumn("upto", size).filter(F.col("upto") <= most).drop("__t")
+    parts = written(df.withColumn("__t", keep).repartitionByRange("__t", order).withColumn("__p", F.spark_partition_id()), "context")
+    sizes = parts.groupBy("__p").agg(F.sum(F.length(text)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per part
+    begin = sizes.select("__p", before.alias("__before")).filter(F.col("__before") <= most)  # later parts can't fit
+    size = F.col("__before") + F.coalesce(F.sum(F.length(text)).over(W.partitionBy("__p").orderBy("__t", order).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    return parts.join(F.broadcast(begin), "__p").withColumn("upto", size).filter(F.col("upto") <= most).drop("__t", "__p", "__before")
 
 
 def round_robin(df: DataFrame, strata: Sequence[str], ident: str, n: int, seed: str) -> DataFrame:

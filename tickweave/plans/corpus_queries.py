@@ -116,6 +116,12 @@ def j13_keyword_edges(spark: SparkSession, folder: str) -> DataFrame:
     return e.filter("shared >= 3")
 
 
+def j13_keyword_edges_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of every nation and segment: a topic is one of both, an edge lies in a topic."""
+    o = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return G.class_shared_keys(o.select(F.col("c_custkey").alias("id"), F.concat_ws("|", "c_nationkey", "c_mktsegment", "o_orderpriority").alias("k")), "id", "k", 3)
+
+
 def j14_citations(spark: SparkSession, folder: str) -> DataFrame:
     return G.bounded_citations(_refs(spark, folder), _latest(spark, folder).filter("year >= 2015").select("id"))
 

@@ -39,8 +39,17 @@ def s3_layout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s4_metric_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics through Parquet, CSV and JSON lines; each reader gives the same."""
-    m = _metrics(spark, folder).filter("seq <= 2000").withColumns({"code": F.col("code").cast("string"), "horizon": F.col("horizon").cast("string")})
+    """Metrics through Parquet, CSV and JSON lines; each reader gives the same. The first 2,000 orders alone."""
+    return _metric_files(spark, _metrics(spark, folder).filter("seq <= 2000"))
+
+
+def s4_metric_files_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of all metrics."""
+    return _metric_files(spark, _metrics(spark, folder))
+
+
+def _metric_files(spark: SparkSession, metrics: DataFrame) -> DataFrame:
+    m = metrics.withColumns({"code": F.col("code").cast("string"), "horizon": F.col("horizon").cast("string")})
     out = None
     for kind in ("parquet", "csv", "jsonl"):
         p = f"{_place(spark, 'metrics')}.{kind}"

@@ -61,7 +61,16 @@ def r23_balanced(spark: SparkSession, folder: str) -> DataFrame:
 
 def r27_context(spark: SparkSession, folder: str) -> DataFrame:
     """Notes of the first sixty records that fit into 2,000 characters, warnings going first."""
-    f = table(spark, folder, "feedback_memory").filter("rec_id <= 60 and reason is not null").select("rec_id", "reason", F.coalesce("direction", F.lit("unknown")).alias("tier"))
+    return _context(table(spark, folder, "feedback_memory").filter("rec_id <= 60"))
+
+
+def r27_context_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of all records."""
+    return _context(table(spark, folder, "feedback_memory"))
+
+
+def _context(feedback: DataFrame) -> DataFrame:
+    f = feedback.filter("reason is not null").select("rec_id", "reason", F.coalesce("direction", F.lit("unknown")).alias("tier"))
     return Y.within_size(f, ["positive", "negative", "unknown"], "tier", "rec_id", "reason", 2000).select("rec_id", "tier", F.col("upto").cast("long").alias("upto"))
 
 
