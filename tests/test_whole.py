@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tickweave.functions import text as X
+from tickweave.operators import graph as G
 from tickweave.plans import corpus_queries, flow_queries, select_queries, text_queries
 
 TITLES = ["Order-flow & Price Impact", "Ｏrder–Flow <Imbalance>", "Straße: limit order", "市场 market depth", "a\x0bb \"queue positions\"", "  ", "x ", None]
@@ -80,3 +82,15 @@ def test_context_of_all_records(spark, tmp_path):
         if upto <= 2000:
             want.add((i, d or "unknown", upto))
     assert {tuple(x) for x in select_queries.r27_context_all(spark, str(tmp_path)).collect()} == want and max(i for i, *_ in want) > 60
+
+
+def test_every_query_vector_is_searched(spark, tmp_path):
+    g = np.random.default_rng(4)
+    v = {i: g.normal(size=6) for i in range(350)} | {200: np.zeros(6), 301: None}
+    v[5] = v[0] * 2
+    spark.createDataFrame([(i, None if x is None else x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    unit = {i: x / np.linalg.norm(x) for i, x in v.items() if x is not None and x.any()}
+    want = {(q, i) for q in (0, 100, 300) for i in sorted((i for i in unit if i != q and round(unit[i] @ unit[q], 6) >= 0.2), key=lambda i: (-round(unit[i] @ unit[q], 6), i))[:20]}
+    assert {(x["query"], x["vec_id"]) for x in corpus_queries.r8_semantic_all(spark, str(tmp_path)).collect()} == want
+    e = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {(x["query"], x["vec_id"]) for x in G.cosine_search(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.2, 20, block_rows=3).collect()} == want

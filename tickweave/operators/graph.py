@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickweave.operators.components import components
 from tickweave.runtime import written
@@ -96,6 +97,38 @@ def class_shared_keys(rows: DataFrame, ident: str, key: str, least: int) -> Data
     return near.join(l, "ka").join(r, "kb").filter("a < b").select("a", "b", "shared")
 
 
+def cosine_search(queries: DataFrame, vectors: DataFrame, ident: str, vector: str, least: float, k: int, digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query, ident, score) of the ``k`` nearest other vectors of each query, at a cosine (to ``digits`` places) of
+    ``least`` or more, ties by id. Blocks of queries meet blocks of vectors as matrix products; each gives no more
+    than the ``k`` best of a query. Null, empty and zero vectors have none."""
+    of = lambda d: d.select(F.col(ident).alias("id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")).filter(F.size("v") > 0)
+    q, v = of(queries), of(vectors)
+    nq, nv = (max(1, -(-d.count() // block_rows)) for d in (q, v))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(F.col("id").alias("query"), F.col("v").alias("qv"), part(nq).alias("qi"), every(nv).alias("qj"))
+    right = v.select("id", "v", every(nq).alias("i"), part(nv).alias("j"))
+    kind = v.schema["id"].dataType.simpleString()
+
+    def meet(l: pa.Table, r: pa.Table) -> pa.Table:
+        out = []
+        if l.num_rows and r.num_rows:
+            p, q = (np.array(c.to_pylist()) for c in (l.column("query"), r.column("id")))
+            x, y = (np.array(c.to_pylist(), float) for c in (l.column("qv"), r.column("v")))
+            size = np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))
+            s = np.round(np.divide(x @ y.T, size, out=np.full(size.shape, -2.0), where=size > 0), digits)
+            s[p[:, None] == q[None, :]] = -2.0
+            for n, w in enumerate(s):
+                at = np.flatnonzero((w >= least) & (w > -2.0))
+                out += [(p[n].item(), q[m].item(), float(w[m])) for m in at[np.lexsort((q[at], -w[at]))][:k]]
+        return pa.Table.from_pylist([dict(zip(("query", ident, "score"), o)) for o in out], pa.schema([("query", t), (ident, t), ("score", pa.float64())]))
+
+    t = to_arrow_type(v.schema["id"].dataType)
+    best = left.groupBy("qi", "qj").cogroup(right.groupBy("i", "j")).applyInArrow(meet, f"query {kind}, {ident} {kind}, score double")
+    w = W.partitionBy("query").orderBy(F.desc("score"), ident)
+    return best.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+
+
 def bounded_citations(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(source, target) citations whose two ends are nodes; no loops, each once."""
     n = nodes.select(F.col(nodes.columns[0]).alias("id")).distinct()

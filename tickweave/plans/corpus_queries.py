@@ -322,6 +322,12 @@ def r8_semantic(spark: SparkSession, folder: str) -> DataFrame:
     return e.join(F.broadcast(q), F.col("vec_id") != 0).select("vec_id", F.round(s, 6).alias("score")).filter("score >= 0.2").orderBy(F.desc("score"), "vec_id").limit(20)  # one query row
 
 
+def r8_semantic_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty nearest vectors of each whose id is divisible by 100, at 0.2 or more, against all rows."""
+    e = table(spark, folder, "embeddings")
+    return G.cosine_search(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.2, 20)
+
+
 def r9_r10_recommend(spark: SparkSession, folder: str) -> DataFrame:
     """Tags by summed votes of the records, and how many they share with the first record."""
     f = table(spark, folder, "feedback_memory").select("rec_id", "daily_rankic", F.explode("mechanism_tags").alias("tag"))
