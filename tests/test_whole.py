@@ -94,3 +94,14 @@ def test_every_query_vector_is_searched(spark, tmp_path):
     assert {(x["query"], x["vec_id"]) for x in corpus_queries.r8_semantic_all(spark, str(tmp_path)).collect()} == want
     e = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
     assert {(x["query"], x["vec_id"]) for x in G.cosine_search(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.2, 20, block_rows=3).collect()} == want
+
+
+def test_clusters_take_the_best_member(spark):
+    at = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
+    turns = [0, 50, 85, 170, 125, 45]  # 85 is near a member, not the head
+    df = spark.createDataFrame([(i, 0, at(d)) for i, d in enumerate(turns)] + [(10 + i, 1, at(3 * i)) for i in range(40)], "vec_id long, label int, e array<double>")
+    got = {r["vec_id"]: r["cluster"] for r in G.greedy_clusters(df, "label", "vec_id", "e", 0.55).collect()}
+    assert [got[i] for i in range(6)] == [0, 0, 0, 1, 0, 0] and {got[10 + i] for i in range(40)} == {0}
+    turns = [0, 100, 55]
+    df = spark.createDataFrame([(i, 0, at(d)) for i, d in enumerate(turns)], "vec_id long, label int, e array<double>")
+    assert [r["cluster"] for r in G.greedy_clusters(df, "label", "vec_id", "e", 0.55).orderBy("vec_id").collect()] == [0, 1, 1]

@@ -208,30 +208,36 @@ def identity_groups(records: DataFrame, ident: str, keys: Sequence[str], rank: S
 
 
 def greedy_clusters(vectors: DataFrame, group: str, ident: str, vector: str, least: float) -> DataFrame:
-    """(ident, group, cluster): each vector, in order of id, goes to the first cluster of its group whose head has a
-    cosine of ``least`` or more, else heads a new one. Null, empty and zero vectors are clusters of their own.
+    """(ident, group, cluster): each vector, in order of id, goes to the cluster of its group with the member of the
+    highest cosine, if that is ``least`` or more (ties to the earlier), else begins a new one. Null, empty and zero vectors are clusters of their own.
 
-    The order makes it sequential within a group; rows stream through sorted, and a task holds the heads alone."""
+    The order makes it sequential within a group; rows stream through sorted, and a task holds the vectors of a group."""
     src = vectors.select(F.col(ident).alias("i"), F.col(group).alias("g"), F.transform(F.coalesce(vector, F.array().cast(vectors.schema[vector].dataType)), lambda x: x.cast("double")).alias("v"))
     kinds = [src.schema[c].dataType.simpleString() for c in ("i", "g")]
 
     def run(batches):
-        now, heads, n = None, [], 0
+        now, m, own, n = None, np.zeros((0, 0)), [], 0  # unit vectors, the first len(own) in use, and their clusters
         for b in batches:
             out = []
             for g, v in zip(b.column("g").to_pylist(), b.column("v").to_pylist()):
                 if (g,) != now:
-                    now, heads, n = (g,), [], 0
+                    now, own, n = (g,), [], 0
                 x = np.array(v, float)
                 size = np.linalg.norm(x) if len(x) else 0.0
-                at = np.flatnonzero(np.stack([h for h, _ in heads]) @ (x / size) >= least) if heads and size > 0 else ()
-                if len(at):
-                    out.append(heads[at[0]][1])
-                    continue
+                to = n
                 if size > 0:
-                    heads.append((x / size, n))
-                out.append(n)
-                n += 1
+                    if own:
+                        s = m[: len(own)] @ (x / size)
+                        if s.max() >= least:
+                            to = min(own[i] for i in np.flatnonzero(s == s.max()))
+                        if len(own) == len(m):
+                            m = np.concatenate([m, np.empty_like(m)])
+                    else:
+                        m = np.empty((16, len(x)))
+                    m[len(own)] = x / size
+                    own.append(to)
+                out.append(to)
+                n += to == n
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("g"), pa.array(out, pa.int32())], [ident, group, "cluster"])
 
     return src.repartition("g").sortWithinPartitions("g", "i").mapInArrow(run, f"{ident} {kinds[0]}, {group} {kinds[1]}, cluster int")

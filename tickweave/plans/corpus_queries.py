@@ -480,7 +480,7 @@ def g6_g7_finalised(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def g8_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors greedily assigned, in order of id, to the first cluster whose head is at 0.55 or more (per label)."""
+    """Vectors greedily assigned, in order of id, to the cluster of the nearest member, at 0.55 or more (per label)."""
     return G.greedy_clusters(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", 0.55)
 
 
