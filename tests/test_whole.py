@@ -105,3 +105,9 @@ def test_clusters_take_the_best_member(spark):
     turns = [0, 100, 55]
     df = spark.createDataFrame([(i, 0, at(d)) for i, d in enumerate(turns)], "vec_id long, label int, e array<double>")
     assert [r["cluster"] for r in G.greedy_clusters(df, "label", "vec_id", "e", 0.55).orderBy("vec_id").collect()] == [0, 1, 1]
+
+
+def test_find_needs_every_word(spark, tmp_path):
+    rows = [(1, "Liquidity", "positive", ["order flow"]), (2, "liquidity", "positive", None), (3, "flow", None, ["x"]), (4, "flow of liquidity", None, None)]
+    spark.createDataFrame(rows, "rec_id long, reason string, label string, mechanism_tags array<string>").write.parquet(str(tmp_path / "feedback_memory.parquet"))
+    assert [r["rec_id"] for r in corpus_queries.r25_find_all(spark, str(tmp_path)).collect()] == [1, 4]

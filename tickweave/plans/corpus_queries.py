@@ -241,7 +241,7 @@ def a16_arms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a17_tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    """The four most distinctive title words of each source and the share of its nearest sibling."""
+    """The four most distinctive title words of each source."""
     n = table(spark, folder, "graph_nodes").select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"([a-z]{4,})"), F.lit(1)))).alias("t")).filter("source is not null")
     tf = n.groupBy("source", "t").agg(F.count("*").alias("n"))
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
@@ -329,7 +329,7 @@ def r8_semantic_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r9_r10_recommend(spark: SparkSession, folder: str) -> DataFrame:
-    """Tags by summed votes of the records, and how many they share with the first record."""
+    """Tags by summed votes of the records."""
     f = table(spark, folder, "feedback_memory").select("rec_id", "daily_rankic", F.explode("mechanism_tags").alias("tag"))
     return f.groupBy("tag").agg(F.count("*").alias("votes"), F.round(F.sum(F.coalesce("daily_rankic", F.lit(0.0))), 6).alias("score"))
 
@@ -374,12 +374,19 @@ def r24_r26_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r25_find(spark: SparkSession, folder: str) -> DataFrame:
-    """First records whose JSON has every word."""
+    """First records whose JSON has one of two words."""
     f = table(spark, folder, "feedback_memory")
     text = F.lower(F.to_json(F.struct("reason", "label", "mechanism_tags")))
     return f.filter(F.contains(text, F.lit("liquidity")) | F.contains(text, F.lit("flow"))).orderBy("rec_id").limit(30).select("rec_id")
 
 
+def r25_find_all(spark: SparkSession, folder: str) -> DataFrame:
+    """First records whose JSON has both words."""
+    f = table(spark, folder, "feedback_memory")
+    text = F.lower(F.to_json(F.struct("reason", "label", "mechanism_tags")))
+    return f.filter(F.contains(text, F.lit("liquidity")) & F.contains(text, F.lit("flow"))).orderBy("rec_id").limit(30).select("rec_id")
+
+
 def u2_u3_union_first(spark: SparkSession, folder: str) -> DataFrame:
     """Works and preprints in one list with each title once, the first delivered."""
     a = table(spark, folder, "works").select(F.lit(0).alias("src"), "rec_id", "title")
