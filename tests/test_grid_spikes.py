@@ -125,3 +125,34 @@ def test_blocks_do_not_split_days():
         S.BLOCK = old
     whole = list(S._sequence_pass(iter(t.to_batches())))
     assert len(parts) > 1 and pa.Table.from_batches(parts).equals(pa.Table.from_batches(whole))
+
+
+def test_the_forest_decides(spark):
+    rows = _random_ticks(800)
+    rows[100][3] *= 1.05
+    rows[200][3] = -rows[200][3]
+    rows[400][4] = 5e7
+    for i in range(501, 520):
+        rows[i][4] = rows[500][4]
+    x = {k for k, v in _judge(spark, rows).items() if v}
+    assert x == {100, 200, 400} | set(range(501, 520))
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    cols = [F.lit(1), F.col("delay_time"), F.col("tick_id"), F.col("close"), F.col("volume"), F.col("askP1"), F.col("bidP1")]
+    scores = {r["id"]: r["score"] for r in S.implausible(df, *cols).collect()}
+    assert {k for k, v in scores.items() if v >= S.SCORE} == x - {200}  # all but the physically impossible one
+    without = {k for k, v in scores.items() if v >= 2}  # ablation: no score is ever high enough
+    assert without == set() and x - without - {200} == {100, 400} | set(range(501, 520))
+    flat = S.forest_score(np.ones((2, S.CELLS), np.float32), np.array([[0.1, 5.0]], np.float32))
+    assert (flat == S.SCORE).all()  # a forest without cuts tells a spike from nothing
+
+
+def test_paths_never_grow_beyond_the_readings():
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(0, 0.3, (3000, 2))).astype(np.float32)
+    x[:20, 0] = 30  # what lies beyond the limit does not mask anything
+    p = S.grow_forest(x, 3)
+    assert p.shape == (2, S.CELLS) and (np.diff(p[:, S.CELLS // 2 :], axis=1) <= 1e-4).all()
+    s = S.forest_score(p, np.array([[0.05, 0.05], [1.0, 1.0], [1.9, 50.0]], np.float32))
+    assert (s[0] < 0.35).all() and s[1] == pytest.approx([S.SCORE, S.SCORE]) and (s[2] > S.SCORE).all()
+    empty = S.grow_forest(np.full((3, 2), 9.0), 1)
+    assert np.isfinite(S.forest_score(empty, np.zeros((2, 2), np.float32))).all()

@@ -17,22 +17,26 @@ FIELDS = ("close", "volume", "ask", "bid")
 PRICES = ("close", "ask", "bid")
 #: Rows of one source that train its forest: this many on average, all of a smaller source's.
 TRAIN_ROWS = 2048
-TREES, PER_TREE, DEPTH = 30, 128, 7
-#: Columns of the feature matrix that trees may split on: a third of the trees for prices, volume and runs each.
-GROUPS = ((0, 1, 2, 5), (3, 4), (6, 7, 8, 9))
+#: Trees of each feature, rows that grow one, and its depth.
+TREES, PER_TREE, DEPTH = 32, 128, 8
+#: Features of the forest: deviations from the neighbours, volume against the source's level and its season, runs.
+COLUMNS = ("close", "ask", "bid", "level", "season", "run_close", "run_volume", "run_ask", "run_bid")
+#: Trees cut between 0 and SPAN natural limits; their mean path is kept in CELLS steps.
+SPAN, CELLS = 2.0, 512
 #: Rows taken through the sequence features at once, and rows of a source in one scoring group.
 BLOCK, CHUNK = 100_000, 50_000
 #: All forests together are broadcast up to this size; beyond it they are joined by source.
 BROADCAST_BYTES = 64 << 20
 PRICE_STEP = 0.01
 SLOTS, SLOT_US = 48, 1_800_000_000
-#: A reading is looked at more closely from this isolation score on (the median reading has about that).
-SCORE = 0.52
-#: Deviations from the neighbours, in 95 % quantiles of the source's own; at the ends of a day one side is missing.
-FAR, FAR_AT_END = 4.5, 6.0
-VOLUME_FAR = 5.6
-#: A natural run as long as the limit is expected this often in a source.
-RUN_CHANCE = 0.002
+#: Score of a reading at its source's natural limit; a reading with this score or more is implausible.
+SCORE = 0.5
+#: Natural readings beyond the limit that are expected in a whole source: deviations, volumes, runs.
+CHANCE, VOLUME_CHANCE, RUN_CHANCE = 0.01, 0.0001, 0.002
+#: Least growth of a deviation from its 95 % to its 99 % quantile, in units of the first and a price step.
+LEAST_TAIL = 0.35
+#: A season of the day counts as much as the source's level when it has this many readings.
+SEASON_ROWS = 20
 PHYSICAL, END_BITS = 1, {"close": 2, "ask": 4, "bid": 8}
 _FEATURES = "source int, id long, bits int, d_close float, d_ask float, d_bid float, log_volume float, log_close float, step float, run_close int, run_volume int, run_ask int, run_bid int, slot int"
 
@@ -165,80 +169,118 @@ def _sequence_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 # forests ---------------------------------------------------------------------------------------------------------
 
 
-def grow_forest(x: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """Isolation trees as complete binary heaps: split feature (-1 at leaves), threshold, and path length of leaves.
-    Tree t splits on the columns of group t mod 3."""
-    rng = np.random.default_rng(seed)
-    own_columns = [np.array(c) for c in GROUPS]
-    size = 2 ** (DEPTH + 1) - 1
-    feature, cut, path = np.full((TREES, size), -1, np.int8), np.zeros((TREES, size), np.float32), np.zeros((TREES, size), np.float32)
-    for t in range(TREES):
-        rows = rng.choice(len(x), min(PER_TREE, len(x)), replace=False)
-        todo = [(0, 0, rows)]
-        while todo:
-            node, depth, own = todo.pop()
-            lo, hi = x[own].min(axis=0), x[own].max(axis=0)
-            able = own_columns[t % len(GROUPS)]
-            able = able[hi[able] > lo[able]]
-            if depth == DEPTH or len(own) <= 1 or not len(able):
-                path[t, node] = depth + _average_path(len(own))
-                continue
-            f = rng.choice(able)
-            c = np.float32(rng.uniform(lo[f], hi[f]))
-            c = c if c < hi[f] else lo[f]  # rounding must leave no side empty
-            feature[t, node], cut[t, node] = f, c
-            right = x[own, f] > c
-            todo += [(2 * node + 1, depth + 1, own[~right]), (2 * node + 2, depth + 1, own[right])]
-    return {"feature": feature, "cut": cut, "path": path, "norm": np.float32(max(_average_path(min(PER_TREE, len(x))), 1e-9))}
-
-
-def _average_path(n: int) -> float:
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
-
-def forest_score(m: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Isolation score of each row: that of the group of trees that isolates it soonest."""
-    t, rows = np.arange(TREES), np.arange(len(x))[:, None]
-    node = np.zeros((len(x), TREES), np.int32)
-    for _ in range(DEPTH):
-        f = m["feature"][t, node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        node = np.where(inner, 2 * node + 1 + (x[rows, f] > m["cut"][t, node]), node)
-    paths = m["path"][t, node].reshape(len(x), -1, len(GROUPS)).mean(axis=1)  # by group
-    return np.exp2(-paths.min(axis=1) / m["norm"])
+def _average_path(n: np.ndarray) -> np.ndarray:
+    m = np.maximum(n, 2).astype(float)
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m))
 
 
-def _scaled(x: dict[str, np.ndarray], s: dict) -> dict[str, np.ndarray]:
-    """Features in the source's own measures."""
-    step = PRICE_STEP / np.exp(s["log_close"])
-    z = {f: np.abs(x["d_" + f]) / (s["d_" + f] + step) for f in PRICES}
-    z["level"] = (x["log_volume"] - s["volume_mid"]) / s["volume_wide"]
-    z["season"] = (x["log_volume"] - s["season"][np.clip(x["slot"], 0, SLOTS - 1)]) / s["volume_wide"]
-    z["step"] = np.abs(x["step"]) / (s["step"] + step)
-    z["runs"] = np.stack([x["run_" + f] / s["limit"][f] for f in FIELDS])  # negative at the first of a run
-    return z
+def grow_forest(x: np.ndarray, seed: int) -> np.ndarray:
+    """Isolation trees of each column of ``x`` (rows of one source, in natural limits), all grown at once, a level a
+    step; the result is the mean path length of a value, per column, in CELLS steps from 0 to SPAN.
+
+    A tree draws one feature (as with one feature per tree in a bagged forest) and PER_TREE of the readings inside
+    the natural limit. A node is cut uniformly between its least reading and the end of its box, which at the root
+    is SPAN: so cuts also fall into the empty room beyond the readings, and the farther a value lies in it, the
+    sooner it is alone. Beyond the readings paths never grow with the value, whatever else a source holds.
+    """
+    rng = np.random.default_rng(seed)
+    trees = x.shape[1] * TREES
+    values = np.zeros((trees, PER_TREE))
+    for c in range(x.shape[1]):
+        inside = x[(x[:, c] <= 1) & (x[:, c] >= 0), c]
+        if len(inside):
+            values[c * TREES : (c + 1) * TREES] = inside[rng.integers(0, len(inside), (TREES, PER_TREE))]
+    gap = 2 * SPAN
+    keyed = np.sort(values, axis=1).ravel() + np.repeat(np.arange(trees) * gap, PER_TREE)
+    tree, first, last = np.arange(trees), np.arange(trees) * PER_TREE, (np.arange(trees) + 1) * PER_TREE
+    lo, hi = np.zeros(trees), np.full(trees, SPAN)
+    leaves: list[tuple[np.ndarray, ...]] = []
+    for depth in range(DEPTH + 1):
+        n = last - first
+        low = np.where(n > 0, keyed[np.minimum(first, len(keyed) - 1)] - tree * gap, hi)
+        done = (n <= 1) | (depth == DEPTH) | (hi - low < 1e-6)
+        leaves.append((tree[done] // TREES, lo[done], hi[done], depth + _average_path(n[done])))
+        tree, first, last, lo, hi, low = (v[~done] for v in (tree, first, last, lo, hi, low))
+        cut = low + rng.random(len(low)) * (hi - low)
+        mid = np.searchsorted(keyed, cut + tree * gap, side="right")
+        tree, first, last = np.concatenate([tree, tree]), np.concatenate([first, mid]), np.concatenate([mid, last])
+        lo, hi = np.concatenate([lo, cut]), np.concatenate([cut, hi])
+    column, lo, hi, path = (np.concatenate(v) for v in zip(*leaves))
+    at = np.zeros((x.shape[1], CELLS + 1))
+    cell = lambda v: np.ceil(np.minimum(v / SPAN * CELLS, CELLS)).astype(int)
+    np.add.at(at, (column, cell(lo)), path)
+    np.add.at(at, (column, cell(hi)), -path)
+    return (np.cumsum(at, axis=1)[:, :CELLS] / TREES).astype(np.float32)
+
+
+def forest_score(paths: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Isolation score of each value, by column: 2 to the minus its mean path length over that of a reading at the
+    natural limit, so that this reading has SCORE in every source and column."""
+    cell = np.clip(x / SPAN * CELLS, 0, CELLS - 1).astype(np.int32)
+    limit = np.maximum(paths[:, int(CELLS / SPAN)], 1e-6)
+    return np.exp2(-paths[np.arange(x.shape[1]), cell] / limit)
+
+
+def _tail(low: float, high: float, share: float, power: int = 1) -> float:
+    """Value that a ``share`` of the readings exceeds, from the 95 % and 99 % quantiles: the ``power`` of the value
+    grows with minus the logarithm of the share (1: exponential tails, 2: normal ones)."""
+    return (high**power + (high**power - low**power) * np.log(0.01 / min(share, 0.01)) / np.log(5.0)) ** (1 / power)
+
+
+def natural_measures(r: dict) -> dict:
+    """Units and natural limits of one source from its statistics (``s_`` fields)."""
+    n = max(float(r["s_n"]), 1.0)
+    close = r["s_log_close"]
+    tick = PRICE_STEP / float(np.exp(0.0 if pd.isna(close) else close))
+    m: dict = {"unit": {}, "limit": {}}
+    step = 0.0 if pd.isna(r["s_step"]) else float(r["s_step"])
+    near = max(float(r["s_d_close"][0]), 1e-12) if r["s_d_close"] is not None else 1e-12
+    m["wider"] = float(np.clip((step + tick) / (near + tick), 1.0, 3.0))  # one neighbour instead of two sides
+    for f in PRICES:
+        q = r[f"s_d_{f}"]
+        low, high = (float(q[0]), float(q[1])) if q is not None else (0.0, 0.0)
+        unit = low + tick
+        m["unit"][f] = unit
+        m["limit"][f] = _tail(low / unit, max(high / unit, low / unit + LEAST_TAIL), CHANCE / n)
+    v = r["s_volume"]
+    lo, mid, hi, low, high = (float(y) for y in v) if v is not None else (0.0, 0.0, 2.0, 2.0, 3.0)
+    wide = max((hi - lo) / 2, 0.05)
+    m["mid"], m["wide"] = mid, wide
+    m["limit"]["level"] = _tail(max(low - mid, wide) / wide, max(high - mid, 1.5 * wide) / wide, VOLUME_CHANCE / n, 2)
+    season = np.full(SLOTS, mid)
+    for slot, x in dict(r["s_season"] or {}).items():
+        if x is not None and 0 <= slot < SLOTS:
+            season[slot] = mid + (x["mid"] - mid) * x["n"] / (x["n"] + SEASON_ROWS)
+    m["season"] = season
+    runs = dict(r["s_limit"] or {})
+    for i, f in enumerate(FIELDS):
+        m["limit"]["run_" + f] = float(runs.get(i) or 6.0)
+    return m
+
+
+def _matrix(x: dict[str, np.ndarray], m: dict) -> np.ndarray:
+    """The features in natural limits of the source: the limit is 1."""
+    cols = []
+    for f in PRICES:
+        unit = m["unit"][f] * np.where(x["bits"] & END_BITS[f], m["wider"], 1.0)
+        cols.append(np.abs(x["d_" + f]) / (unit * m["limit"][f]))
+    level = (x["log_volume"] - m["mid"]) / m["wide"]
+    season = (x["log_volume"] - m["season"][np.clip(x["slot"], 0, SLOTS - 1)]) / m["wide"]
+    cols += [level / m["limit"]["level"], season / m["limit"]["level"]]
+    cols += [x["run_" + f] / m["limit"]["run_" + f] for f in FIELDS]  # negative at the first of a run
+    return np.clip(np.nan_to_num(np.stack(cols, axis=1), nan=0.0), 0.0, 1e6).astype(np.float32)
 
 
-def _matrix(z: dict[str, np.ndarray]) -> np.ndarray:
-    cols = [*(z[f] for f in PRICES), np.abs(z["level"]), np.abs(z["season"]), z["step"], *np.maximum(z["runs"], 0)]
-    return np.log1p(np.nan_to_num(np.stack(cols, axis=1), nan=0, posinf=1e6)).astype(np.float32)
+#: Bits of the reasons by column: 2 close, 4 ask, 8 bid, 16 volume, 32 stuck; 1 is physical.
+_REASONS = np.array([2, 4, 8, 16, 16, 32, 32, 32, 32], np.int32)
 
 
 def _judge(x: dict[str, np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Isolation score of each row, and the reasons as bits: 1 physical, 2 close, 4 ask, 8 bid, 16 volume, 32 stuck."""
-    z = _scaled(x, model["stats"])
-    score = forest_score(model["forest"], _matrix(z))
-    why = np.zeros(len(score), np.int32)
-    for f in PRICES:
-        limit = np.where(x["bits"] & END_BITS[f], FAR_AT_END, FAR)
-        why |= END_BITS[f] * (z[f] > limit).astype(np.int32)
-    with np.errstate(invalid="ignore"):
-        why |= 16 * ((z["level"] > VOLUME_FAR) & (z["season"] > VOLUME_FAR / 2)).astype(np.int32)
-    why |= 32 * (z["runs"] > 1).any(axis=0).astype(np.int32)
-    why = np.where(score >= SCORE, why, 0) | (x["bits"] & PHYSICAL)
-    return score, why
+    """Score of each reading, that of the feature that isolates it soonest, and the reasons: the features whose score
+    is SCORE or more, and the physical limits."""
+    s = forest_score(model["paths"], _matrix(x, model["measures"]))
+    why = np.bitwise_or.reduce(np.where(s >= SCORE, _REASONS, 0), axis=1)
+    return s.max(axis=1), (why | (x["bits"] & PHYSICAL)).astype(np.int32)
 
 
 # the operator ----------------------------------------------------------------------------------------------------
@@ -246,16 +288,16 @@ def _judge(x: dict[str, np.ndarray], model: dict) -> tuple[np.ndarray, np.ndarra
 
 def _statistics(features: DataFrame) -> DataFrame:
     """One row per source, of all its rows: quantiles of its deviations and volumes, run limits."""
-    q = lambda c, p: F.percentile_approx(c, p, 1000)
+    q = lambda c, *p: F.percentile_approx(c, F.array(*(F.lit(x) for x in p)) if len(p) > 1 else p[0], 1000)
     base = features.groupBy("source").agg(
         F.count("*").alias("n"),
-        *(F.coalesce(q(F.abs(f"d_{f}"), 0.95), F.lit(0.0)).alias(f"d_{f}") for f in PRICES),
+        *(q(F.abs(f"d_{f}"), 0.95, 0.99).alias(f"d_{f}") for f in PRICES),
         q(F.when(~F.isnan("log_close"), F.col("log_close")), 0.5).alias("log_close"),
         q(F.abs("step"), 0.95).alias("step"),
-        q(F.when(~F.isnan("log_volume"), F.col("log_volume")), F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("volume"),
+        q(F.when(~F.isnan("log_volume"), F.col("log_volume")), 0.16, 0.5, 0.84, 0.95, 0.99).alias("volume"),
     )
-    season = features.filter(~F.isnan("log_volume")).groupBy("source", "slot").agg(q("log_volume", 0.5).alias("mid"))
-    season = season.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("slot", "mid"))).alias("season"))  # at most SLOTS
+    season = features.filter(F.col("log_volume").isNotNull() & ~F.isnan("log_volume")).groupBy("source", "slot").agg(F.struct(q("log_volume", 0.5).alias("mid"), F.count("*").alias("n")).alias("x"))
+    season = season.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("season"))  # at most SLOTS
     runs = features.select("source", F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.col(f"run_{f}").alias("run")) for i, f in enumerate(FIELDS)))).alias("r")).filter("r.run < 0")
     runs = runs.groupBy("source", F.col("r.field").alias("field"), (-F.col("r.run")).alias("run")).agg(F.count("*").alias("n"))
     tail = runs.groupBy("source", "field").agg(F.expr("percentile(run, array(0.9, 0.99), n)").alias("q"), F.sum("n").alias("n"), F.sum(F.col("run") * F.col("n")).alias("rows"))
@@ -269,16 +311,10 @@ def _statistics(features: DataFrame) -> DataFrame:
 
 def _train(rows: pd.DataFrame) -> pd.DataFrame:
     """The model of one source from its statistics and its bounded sample."""
-    r = rows.iloc[0]
-    lo, mid, hi = r["s_volume"] if r["s_volume"] is not None else (0.0, 0.0, 2.0)
-    known = dict(r["s_season"] or {})
-    limits = dict(r["s_limit"] or {})
-    stats = {f"d_{f}": float(r[f"s_d_{f}"]) for f in PRICES} | {
-        "log_close": 0.0 if pd.isna(r["s_log_close"]) else float(r["s_log_close"]), "step": float(r["s_step"] or 0), "volume_mid": mid, "volume_wide": max((hi - lo) / 2, 0.05),
-        "season": np.array([known.get(i, mid) for i in range(SLOTS)]), "limit": {f: float(limits.get(i, 6.0)) for i, f in enumerate(FIELDS)},
-    }
-    x = _matrix(_scaled({c: rows[c].to_numpy() for c in rows.columns if not c.startswith("s_")}, stats))
-    return pd.DataFrame({"source": [int(r["source"])], "model": [pickle.dumps({"stats": stats, "forest": grow_forest(x, int(r["source"]))})]})
+    m = natural_measures(rows.iloc[0].to_dict())
+    x = _matrix({c: rows[c].to_numpy() for c in rows.columns if not c.startswith("s_")}, m)
+    source = int(rows["source"].iloc[0])
+    return pd.DataFrame({"source": [source], "model": [pickle.dumps({"measures": m, "paths": grow_forest(x, source)})]})
 
 
 def _models(features: DataFrame) -> DataFrame:
@@ -286,7 +322,7 @@ def _models(features: DataFrame) -> DataFrame:
     slim = stats.select("source", F.col("n").alias("s_n"), *(F.col(c).alias(f"s_{c}") for c in stats.columns if c not in ("source", "n")))
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     sample = features.join(slim, "source").filter(share < TRAIN_ROWS / F.col("s_n"))
-    return sample.drop("s_n").groupBy("source").applyInPandas(_train, "source int, model binary").join(stats.select("source", "n"), "source")
+    return sample.groupBy("source").applyInPandas(_train, "source int, model binary").join(stats.select("source", "n"), "source")
 
 
 _OUT = "source int, id long, score double, reasons int"
@@ -330,10 +366,11 @@ def _score(features: DataFrame, models: DataFrame, broadcast_bytes: int) -> Data
 
 def implausible(ticks: DataFrame, source: Column, time: Column, ids: Column, close: Column, volume: Column, ask: Column, bid: Column, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(source, id, score, reasons) of every tick; ``reasons`` is 0 or the sum of 1 impossible in itself, 2, 4, 8
-    close, ask or bid far from its neighbours, 16 volume far from the source's, 32 stuck.
+    close, ask or bid isolated from its neighbours, 16 volume isolated from the source's, 32 stuck.
 
     ``source`` is an integer. Ticks without source or time are held against the physical limits alone and have a
-    null score. Missing values (null, NaN) are never a reason. A row of the same time and values as one before it
+    null score. All others are judged by their source's forest: a reading whose score is SCORE or more has the reasons
+    of the features that isolate it. Missing values (null, NaN) are never a reason. A row of the same time and values as one before it
     is a copy and shares its verdict. Empty input: no rows.
 
     A source's days are independent of each other and lie in different tasks; the statistics of a source are
