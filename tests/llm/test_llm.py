@@ -145,17 +145,56 @@ def test_incremental_without_numbers_and_empty(spark):
     assert _dedup(spark, [(1, 1, "[\"diff\",\"a\",90]", None), (2, 1, "[\"diff\",\"a\",100]", None), (3, 1, "[\"diff\",\"a\",111]", None)]) == {(1, 2)}  # 2 is no accepted record
 
 
+_CLASS = "rec_id long, direction string, skeleton string, numbers array<double>"
+
+
+def _postings_of(i):
+    return i._read("postings", i._POSTINGS, None)
+
+
 def test_index_is_appended_not_rewritten(spark):
     i = N.BatchIndex(spark)
-    c = spark.createDataFrame([(1, "d", "s", [10.0])], "rec_id long, direction string, skeleton string, numbers array<double>")
-    i.append(c)
-    before = {f for f in i.postings().inputFiles()}
-    i.append(spark.createDataFrame([(2, "d", "s", [30.0])], c.schema))
-    assert before < {f for f in i.postings().inputFiles()}
-    got = i.probe(spark.createDataFrame([(3, "d", "s", [31.0]), (4, "d", "t", [31.0])], c.schema)).filter("not own").collect()
+    i.append(spark.createDataFrame([(1, "d", "s", [10.0])], _CLASS))
+    before = set(_postings_of(i).inputFiles())
+    i.append(spark.createDataFrame([(2, "d", "s", [30.0])], _CLASS))
+    assert before < set(_postings_of(i).inputFiles())
+    again = N.BatchIndex(spark, i.folder)  # the folder is all there is to an index
+    got = again.probe(spark.createDataFrame([(3, "d", "s", [31.0]), (4, "d", "t", [31.0])], _CLASS)).collect()
     assert [(r["rec_id"], r["acc_id"], r["exact"]) for r in got] == [(3, 2, False)]
 
 
+def test_a_probe_reads_with_the_batch_not_with_the_history(spark):
+    read, parts = {}, {}
+    for n in (2000, 20_000):
+        i = N.BatchIndex(spark, part_rows=50)
+        i.append(spark.range(n).selectExpr("id + 1 as rec_id", "'d' as direction", "concat('s', id) as skeleton", "array(10.0D, double(id % 7)) as numbers"))
+        batch = spark.createDataFrame([(10**9 + k, "d", f"s{k}", [10.5, float(k % 7)]) for k in range(3)], _CLASS)
+        assert {(r["rec_id"], r["acc_id"]) for r in i.probe(batch).collect()} == {(10**9 + k, k + 1) for k in range(3)}
+        read[n], parts[n] = i.touched(batch).count(), i.segments()[0][1]
+        assert _postings_of(i).count() == 2 * n
+    assert parts[20_000] >= 8 * parts[2000]
+    assert read[20_000] < 2 * read[2000] and read[20_000] < 0.05 * 40_000
+
+
+def test_hot_tokens_and_merged_segments_change_nothing(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(k, "d", "s", [10 + r.random(), float(r.randrange(3))]) for k in range(1, 300)]
+    old, new = spark.createDataFrame(rows[:200], _CLASS), spark.createDataFrame(rows[200:], _CLASS)
+    near = lambda x, y: all(10 * abs(a - b) <= max(abs(a), abs(b)) for a, b in zip(x, y))
+    want = {(q[0], p[0]) for q in rows[200:] for p in rows[:200] if near(p[3], q[3])}
+    i = N.BatchIndex(spark)
+    monkeypatch.setattr(N, "MAX_SEGMENTS", 2)
+    for k in range(4):
+        i.append(old.filter(F.col("rec_id") % 4 == k))
+    assert len(i.segments()) < 4 and _postings_of(i).count() == 400
+    assert {(x["rec_id"], x["acc_id"]) for x in i.probe(new).collect()} == want
+    looked = N._looked(new)
+    counts = i._read("tokens", i._COUNTS, None).select("token", "df")
+    prefixes = N.written(N._rarest(looked, counts), "prefixes")
+    split = N._meet(prefixes, _postings_of(i).drop("part"), hot=7)
+    assert {(x["rec_id"], x["acc_id"]) for x in split.collect()} == want
+
+
 # truncation ------------------------------------------------------------------------------------------------------
 
 _SUBJECTS = "the order book|the quoted spread|our measure of depth|a simple factor|the closing auction|the volume clock".split("|")
