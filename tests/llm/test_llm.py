@@ -77,12 +77,30 @@ def test_ids_equal_the_library(own, library):
     assert own.counts(texts).tolist() == n.tolist()
 
 
-def test_both_ways_of_merging_agree(own, monkeypatch):
-    pieces = [t.encode() for t in _texts() if 2 <= len(t.encode()) <= 200]
-    a = own.pieces(pieces)
-    monkeypatch.setattr(bpe, "WIDE", 0)
-    b = own.pieces(pieces)
-    assert all(x.tolist() == y.tolist() for x, y in zip(a, b))
+def _one_by_one(own, piece):
+    """The published rule: the leftmost pair of least rank, one place after the other."""
+    x = own.first[np.frombuffer(piece, np.uint8)].tolist()
+    while len(x) > 1:
+        rank, new = own.table.find(np.array(x[:-1], np.int32), np.array(x[1:], np.int32))
+        i = int(rank.argmin())
+        if rank[i] == bpe.NONE:
+            break
+        x[i : i + 2] = [int(new[i])]
+    return x
+
+
+def test_rounds_equal_one_place_after_the_other(own):
+    pieces = [t.encode()[:300] for t in _texts() if len(t.encode()) >= 2]
+    assert [x.tolist() for x in own.pieces(pieces)] == [_one_by_one(own, p) for p in pieces]
+
+
+def test_known_pieces_grow_in_place(library, monkeypatch):
+    own = bpe.ByteBPE(VOCABULARY)
+    r = random.Random(9)
+    for _ in range(6):
+        texts = ["".join(r.choice("abcdefgh ijk") for _ in range(3000)) for _ in range(10)]
+        ids, n = own.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
 
 
 def test_round_trip(own, library):

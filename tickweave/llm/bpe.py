@@ -17,8 +17,6 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.int32(2**31 - 1)
-#: Pieces up to this width merge one pair a round; wider ones merge every place of the least pair at once.
-WIDE = 64
 #: Cells of one matrix, documents of one slice, and pieces that a worker keeps.
 CELLS, SLICE, KEPT = 1 << 20, 500, 400_000
 
@@ -66,6 +64,11 @@ class PairTable:
         return np.where(ok, self.ranks[slot], NONE), self.merged[slot]
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n`` values; it doubles, so that growing costs no more than filling."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -82,7 +85,7 @@ class ByteBPE:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.lens, self.ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        self.flat, self.lens, self.starts, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     # merging -------------------------------------------------------------------------------------------------
 
@@ -98,33 +101,16 @@ class ByteBPE:
                 row, m, rank, new, least = row[go], m[go], rank[go], new[go], least[go]
             if not len(row):
                 return
-            m, rank, new = (self._one if m.shape[1] <= WIDE else self._every)(m, rank, new, least)
+            m, rank, new = self._round(m, rank, new, least)
 
     def _ranks(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.table.find(m[:, :-1].ravel(), m[:, 1:].ravel())
         shape = (len(m), m.shape[1] - 1)
         return a.reshape(shape), b.reshape(shape)
 
-    def _one(self, m, rank, new, least):
-        """The leftmost least pair of each row becomes one id; the row closes up by a cell."""
-        n, w = m.shape
-        at, r = rank.argmin(axis=1), np.arange(n)
-        m[r, at] = new[r, at]
-        take = np.arange(w - 1) + (np.arange(w - 1) > at[:, None])
-        m = np.take_along_axis(m, take, 1)
-        if w == 2:
-            return m, np.zeros((n, 0), np.int32), np.zeros((n, 0), np.int32)
-        take = np.arange(w - 2) + (np.arange(w - 2) >= at[:, None])  # the pair's own rank goes
-        rank, new = np.take_along_axis(rank, take, 1), np.take_along_axis(new, take, 1)
-        for p in (at - 1, at):
-            ok = (p >= 0) & (p < w - 2)
-            i, j = r[ok], p[ok]
-            rank[i, j], new[i, j] = self.table.find(m[i, j], m[i, j + 1])
-        return m, rank, new
-
-    def _every(self, m, rank, new, least):
-        """Every place of a row's least pair at once, from the left; the same as one after the other, since
-        a merge only makes pairs of a later rank."""
+    def _round(self, m, rank, new, least):
+        """Each row merges its least pair, from the leftmost place on at every place of it: the same as one place
+        after the other, since a merge only makes pairs of a later rank. Then the rows are compacted."""
         n, w = m.shape
         hit = rank == least[:, None]
         col = np.arange(w - 1)
@@ -180,9 +166,12 @@ class ByteBPE:
             ids = self.pieces([p.encode("utf-8", "surrogatepass") for p in new])
             base = len(self.known)
             self.known.update((p, base + i) for i, p in enumerate(new))
-            flat, lens = np.concatenate(self.flat + ids), np.concatenate([*self.lens, np.fromiter(map(len, ids), np.int64, len(ids))])
-            self.flat, self.lens = [flat], [lens]
-            self.starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            lens, flat = np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids)
+            self.flat = _room(self.flat, self.used + len(flat))
+            self.lens, self.starts = _room(self.lens, base + len(ids)), _room(self.starts, base + len(ids))
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.lens[base : base + len(ids)], self.starts[base : base + len(ids)] = lens, self.used + np.cumsum(lens) - lens
+            self.used += len(flat)
         return cut
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +179,10 @@ class ByteBPE:
         cut = self._learn(texts)
         of = self.known
         piece = np.fromiter((of[p] for c in cut for p in c), np.int64, sum(map(len, cut)))
-        lens = self.lens[0][piece]
+        lens = self.lens[piece]
         total = int(lens.sum())
         begin = np.cumsum(lens) - lens
-        ids = self.flat[0][np.repeat(self.starts[piece] - begin, lens) + np.arange(total)] if total else np.zeros(0, np.int32)
+        ids = self.flat[np.repeat(self.starts[piece] - begin, lens) + np.arange(total)] if total else np.zeros(0, np.int32)
         text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
         return ids, np.bincount(text, weights=lens, minlength=len(texts)).astype(np.int64) if total else np.zeros(len(texts), np.int64)
 
@@ -202,7 +191,7 @@ class ByteBPE:
         of = self.known
         piece = np.fromiter((of[p] for c in cut for p in c), np.int64, sum(map(len, cut)))
         text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(cut)))
-        return np.bincount(text, weights=self.lens[0][piece], minlength=len(texts)).astype(np.int64) if len(piece) else np.zeros(len(texts), np.int64)
+        return np.bincount(text, weights=self.lens[piece], minlength=len(texts)).astype(np.int64) if len(piece) else np.zeros(len(texts), np.int64)
 
 
 _LOADED: dict[str, ByteBPE] = {}

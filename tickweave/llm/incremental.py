@@ -216,7 +216,7 @@ def deduplicate(records: DataFrame, index: BatchIndex) -> DataFrame:
             continue
         old = written(_choice(index.probe(classes)), "repeats")
         fresh = written(classes.join(old.select("rec_id"), "rec_id", "left_anti"), "fresh")
-        within = written(_settled(pairs_within(fresh)), "repeats")
+        within = _settled(pairs_within(fresh))
         verdicts += [old, within]
         index.append(fresh.join(within.select("rec_id"), "rec_id", "left_anti"))
     known = reduce(DataFrame.unionByName, verdicts, records.sparkSession.createDataFrame([], "rec_id long, first_id long"))
