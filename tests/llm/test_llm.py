@@ -411,6 +411,56 @@ def test_mix_edge_cases(spark):
     assert chosen == []
 
 
+def test_the_dual_tilts_documents(spark):
+    r = random.Random(7)
+    docs = [(i, "long", 400 + r.randrange(800)) for i in range(1500)] + [(10_000 + i, "short", 5 + r.randrange(300)) for i in range(4000)]
+    hist = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long").groupBy("source", "n_tokens").agg(F.count("*").alias("n")).cache()
+    have = {s: float(sum(d[2] for d in docs if d[1] == s)) for s in ("long", "short")}
+    most, goal = {"long": 2.0, "short": 3.0}, {"long": 0.3 * sum(have.values()), "short": 0.6 * sum(have.values())}
+    t = X.balance(hist, most, have, goal)
+    assert min(abs(b) for b in t.beta) > 0.01 and t.fault < 1e-8 and t.steps < 20
+    z = lambda n: (np.log(n) - t.mid) / t.wide
+    rate = lambda s, n: min(most[s], np.exp(t.alpha[s] + t.beta[0] * z(n) + t.beta[1] * (z(n) ** 2 - 1)))
+    got = {s: sum(n * rate(s, n) for _, x, n in docs if x == s) for s in have}
+    assert got == pytest.approx(goal, rel=1e-6)
+    assert len({round(rate("short", n), 6) for _, s, n in docs if s == "short"}) > 50  # documents of one source differ
+    mean = sum(n * rate(s, n) * z(n) for _, s, n in docs) / sum(goal.values())
+    even = sum(n * goal[s] / have[s] * z(n) for _, s, n in docs) / sum(goal.values())
+    assert abs(mean) < 0.5 * abs(even) and mean == pytest.approx(-X.SOFT * t.beta[0], abs=1e-6)
+
+
+def test_one_length_of_many_rows_is_rounded_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(X, "BUCKET", 8)
+    chosen, rep = _mix(spark, [(i % 50, "a", 7) for i in range(2000)] + [(9000, "a", 3)], [("a", 1.0, 2)], total_tokens=7 * 1234)
+    assert abs(rep["a"]["used_tokens"] - 7 * 1234) <= 3 and {c["copies"] for c in chosen} == {1}
+
+
+def test_shares_by_sql(spark, data, tmp_path):
+    import duckdb
+
+    data = data.replace("sf0.001", "sf0.01")
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    X.sized(d, F.col("doc_id"), F.col("text"), F.col("source")).write.parquet(f"{tmp_path}/sizes")
+    sizes, targets = spark.read.parquet(f"{tmp_path}/sizes"), spark.read.parquet(f"{data}/mix_targets.parquet")
+    chosen, report = X.mix(sizes, targets)
+    chosen.write.parquet(f"{tmp_path}/chosen")
+    sql = f"""
+        WITH t AS (SELECT source, target_share, max_repeats FROM '{data}/mix_targets.parquet'),
+        h AS (SELECT source, sum(n_tokens) AS n FROM '{tmp_path}/sizes/*.parquet' WHERE source IN (SELECT source FROM t) GROUP BY source),
+        w AS (SELECT sum(n) AS whole FROM h),
+        c AS (SELECT source, sum(n_tokens * copies) AS used, max(copies) AS top FROM '{tmp_path}/chosen/*.parquet' GROUP BY source)
+        SELECT t.source, least(target_share * whole, max_repeats * coalesce(n, 0)) AS goal, coalesce(used, 0) AS used, coalesce(used, 0) / (SELECT sum(used) FROM c) AS share, coalesce(top, 0) <= max_repeats AS ok
+        FROM t CROSS JOIN w LEFT JOIN h USING (source) LEFT JOIN c USING (source)"""
+    want = {r[0]: r[1:] for r in duckdb.sql(sql).fetchall()}
+    got = {r["source"]: r for r in report.collect()}
+    assert set(got) == set(want) and sum(r["actual_share"] for r in got.values()) == pytest.approx(1)
+    for s, (goal, used, share, ok) in want.items():
+        assert ok and got[s]["used_tokens"] == used and got[s]["actual_share"] == pytest.approx(share)
+        assert used == pytest.approx(goal, abs=max(150, 0.02 * goal))
+    once = duckdb.sql(f"SELECT count(*), count(DISTINCT doc_id) FROM '{tmp_path}/chosen/*.parquet'").fetchone()
+    assert once[0] == once[1]
+
+
 # queries ---------------------------------------------------------------------------------------------------------
 
 
