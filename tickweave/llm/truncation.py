@@ -22,8 +22,8 @@ TRAIN_CHARS = 20_000
 HASH = 1 << 18
 EPOCHS, BATCH, RATE, DECAY = 6, 512, 0.15, 1e-6
 #: A length is a limit of a source if it holds this many times the usual number of its rows about that length,
-#: and at least this share of them; the strongest LIMITS of a source count.
-LIMIT_TIMES, LIMIT_SHARE, LIMITS = 6.0, 0.004, 24
+#: and at least this share of them (so there are at most 250).
+LIMIT_TIMES, LIMIT_SHARE = 6.0, 0.004
 #: The same share for the bytes of Han and kana texts, of which only every third number is common anyway.
 LIMIT_SHARE_CJK = 0.06
 THRESHOLD = 0.5
@@ -180,7 +180,7 @@ def score(w: np.ndarray, rows: list[list[int]]) -> np.ndarray:
 def source_limits(texts: DataFrame) -> DataFrame:
     """(tab, source, cjk, chars, bytes): the lengths at which the texts of a source pile up, in characters and in bytes,
     for texts in Han or kana and for others (the same field holds fewer of their characters).
-    From a histogram of all lengths, in which the copies of a text count once; at most LIMITS of either."""
+    From a histogram of all lengths, in which the copies of a text count once; every length that passes counts."""
     once = texts.filter("text is not null").groupBy("tab", "source", F.col("text").rlike(_CJK_SQL).alias("cjk"), F.xxhash64("text")).agg(F.first(F.length("text")).alias("chars"), F.first(F.octet_length("text")).alias("bytes"))
 
     def piles(length: Column, name: str) -> DataFrame:
@@ -190,7 +190,6 @@ def source_limits(texts: DataFrame) -> DataFrame:
         h = h.select("*", F.expr("percentile(n, 0.5)").over(about).alias("mid"), F.count("*").over(about).alias("seen"), F.sum("n").over(all_).alias("all"))
         h = h.withColumn("mid", F.when(F.col("seen") < 41, F.lit(1.0)).otherwise(F.col("mid")))
         h = h.filter((F.col("n") >= F.greatest(LIMIT_TIMES * F.col("mid"), F.when(F.col("cjk") & F.lit(name == "bytes"), LIMIT_SHARE_CJK).otherwise(LIMIT_SHARE) * F.col("all"), F.lit(8.0))))
-        h = h.withColumn("r", F.row_number().over(all_.orderBy(F.desc("n"), "l"))).filter(F.col("r") <= LIMITS)
         return h.groupBy("tab", "source", "cjk").agg(F.sort_array(F.collect_list("l")).alias(name))
 
     both = piles(F.col("chars"), "chars").join(piles(F.col("bytes"), "bytes"), ["tab", "source", "cjk"], "full")
@@ -208,7 +207,7 @@ def _with_limits(texts: DataFrame) -> DataFrame:
 def _sample(x: DataFrame) -> pd.DataFrame:
     """About TRAIN_ROWS texts, each at most once, the same for the same input."""
     x = x.filter((F.length("text") > 0) & (F.length("text") <= TRAIN_CHARS))
-    total = x.count()
+    total = x.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
     share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     got = x.filter(share < min(1.0, TRAIN_ROWS / max(total, 1))).groupBy("text").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"))
     return got.limit(2 * TRAIN_ROWS).toPandas().sort_values("text", ignore_index=True)
