@@ -300,6 +300,20 @@ def test_languages(spark):
     assert L.segments(df.filter("false"), F.col("doc_id"), F.col("text"), F.col("lang")).count() == 0
 
 
+def test_a_text_of_many_copies_trains_once(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(1, "the market is closed today and nobody trades.", "en")] * 5000 + [(i, _say(r, "en", 3), "en") for i in range(60)] + [(i, _say(r, "de", 3), "de") for i in range(60)]
+    seen = []
+    monkeypatch.setattr(L, "fit", lambda texts, y, seed=0: seen.extend(zip(texts, y.tolist())) or L.Model(np.zeros((L.BUCKETS, 8), np.float32), np.zeros(8, np.float32), 1.0, 1.1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    L.train(df, F.col("text"), F.col("lang"))
+    assert sum(t.startswith("the market is closed today") and y == 0 for t, y in seen) < 60 and {y for _, y in seen} == {L.LANGUAGES.index("en"), L.LANGUAGES.index("de")}
+    monkeypatch.setattr(L, "TRAIN_TEXTS", 10)
+    seen.clear()
+    L.train(df, F.col("text"), F.col("lang"))
+    assert 0 < len(seen) <= 2 * 10 * L.PER_TEXT
+
+
 def test_label_codes(spark):
     x = ["en-US", "EN", "eng", "English", " en ", "zh_Hans", "ger", "de-AT", None, "", "und", "Unknown", "ru", "Brazilian"]
     got = spark.createDataFrame([(v,) for v in x], "l string").select(L.label_code(F.col("l"))).collect()
@@ -457,8 +471,8 @@ def test_shares_by_sql(spark, data, tmp_path):
     for s, (goal, used, share, ok) in want.items():
         assert ok and got[s]["used_tokens"] == used and got[s]["actual_share"] == pytest.approx(share)
         assert used == pytest.approx(goal, abs=max(150, 0.02 * goal))
-    once = duckdb.sql(f"SELECT count(*), count(DISTINCT doc_id) FROM '{tmp_path}/chosen/*.parquet'").fetchone()
-    assert once[0] == once[1]
+    once = duckdb.sql(f"SELECT count(*), count(DISTINCT doc_id) FROM '{tmp_path}/chosen/*.parquet'").fetchall()
+    assert once[0][0] == once[0][1]
 
 
 # queries ---------------------------------------------------------------------------------------------------------

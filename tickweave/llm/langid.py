@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The languages, and the notations of a label that stand for them.
@@ -212,12 +213,16 @@ def _train_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, text: Column, label: Column, seed: int = 0) -> Model:
-    """From about TRAIN_TEXTS labelled texts of each language, drawn by a hash of the text."""
+    """From TRAIN_TEXTS distinct labelled texts of each language at most, those of the least hash, however often a text
+    is repeated: about twice as many are drawn by their hash and rid of copies before they are ordered."""
+    key = F.xxhash64("text")
     x = docs.select(label_code(label).alias("code"), text.alias("text")).filter(F.col("code").isin(*LANGUAGES) & (F.length("text") > 0))
-    n = {r["code"]: r["n"] for r in x.groupBy("code").agg(F.count("*").alias("n")).collect()}  # at most eight
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    take = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for k, c in n.items() for v in (k, TRAIN_TEXTS / c))), F.col("code")), F.lit(0.0)) if n else F.lit(0.0)
-    got = x.filter(share < take).mapInPandas(_train_rows, "code string, sentence string").toPandas().sort_values(["sentence", "code"], ignore_index=True)
+    n = {r["code"]: r["n"] for r in x.groupBy("code").agg(F.approx_count_distinct(key).alias("n")).collect()}  # at most eight
+    share = F.pmod(key, F.lit(1 << 30)) / float(1 << 30)
+    take = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for k, c in n.items() for v in (k, 2 * TRAIN_TEXTS / max(c, 1)))), F.col("code")), F.lit(0.0)) if n else F.lit(0.0)
+    drawn = x.filter(share < take).groupBy("code", "text").agg(F.first(share).alias("share"))
+    least = drawn.withColumn("place", F.row_number().over(W.partitionBy("code").orderBy("share", "text"))).filter(F.col("place") <= TRAIN_TEXTS)
+    got = least.select("code", "text").mapInPandas(_train_rows, "code string, sentence string").toPandas().sort_values(["sentence", "code"], ignore_index=True)
     return fit(got["sentence"].tolist(), got["code"].map({c: i for i, c in enumerate(LANGUAGES)}).to_numpy(int), seed)
 
 
@@ -228,7 +233,7 @@ def segments(docs: DataFrame, doc: Column, text: Column, label: Column, *, model
     """The segments of each text: neighbouring sentences of one language.
 
     Columns: doc_id, code (of the label), seg_no, start and stop (characters), lang_code (null: rejected),
-    confidence (of its surest sentence), whole (number of accepted whole sentences). Null, blank and figures-only
+    confidence (the mean of the sentences that gave the language, by their length), whole (number of accepted whole sentences). Null, blank and figures-only
     texts have no segments. Whole texts are read; nothing is shuffled, and only the training sample, of bounded
     size, comes to the driver.
     """
@@ -254,12 +259,13 @@ def segments(docs: DataFrame, doc: Column, text: Column, label: Column, *, model
                     lang = LANGUAGES[l] if p >= m.least and full else None
                     prev = rows[-1] if rows and rows[-1][0] == i else None
                     if prev and (lang is None or prev[3] == lang or prev[3] is None):
-                        prev[2] = e
-                        prev[3] = prev[3] or lang
-                        prev[4] = max(prev[4], p) if lang else prev[4]
+                        if lang is not None:
+                            known = prev[6] if prev[3] else 0
+                            prev[4], prev[6] = (prev[4] * known + p * len(c)) / (known + len(c)), known + len(c)
+                        prev[2], prev[3] = e, prev[3] or lang
                         prev[5] += int(lang is not None)
                     else:
-                        rows.append([i, a, e, lang, p, int(lang is not None)])
+                        rows.append([i, a, e, lang, p, int(lang is not None), len(c)])
                 who = np.array([r[0] for r in rows], np.int64)
                 first = np.ones(len(who), bool)
                 first[1:] = who[1:] != who[:-1]
