@@ -76,10 +76,11 @@ def test_ids(spark):
     assert one(spark, "https://openalex.org/w12/", I.openalex) == "W12" and one(spark, "X12", I.openalex) is None
     for t in ("https://arxiv.org/abs/2001.01234v2", "arXiv: 2001.01234", "http://arxiv.org/pdf/2001.01234v11.pdf"):
         assert one(spark, t, I.arxiv) == "2001.01234"
-    assert I.url_of("HTTPS://A.org/x/?utm_a=1&b=2&fbclid=3#f") == "https://a.org/x?b=2" and I.url_of(None) == ""
+    assert one(spark, "HTTPS://A.org/x/?utm_a=1&b=2&fbclid=3#f", I.canonical_url) == "https://a.org/x?b=2" and one(spark, None, I.canonical_url) is None
+    assert one(spark, "//a.b/?q=a%20b&x&&y=%7e*&gclid=1", I.canonical_url) == "//a.b?q=a+b&x=&y=~%2A" and one(spark, "", I.canonical_url) == ""
     assert one(spark, "A (b) Title - of [x] &amp; 中文!", I.canonical_title) == "atitleof中文"
-    v = I.hash_vector("order Order flow", 16)
-    assert math.isclose(sum(x * x for x in v), 1) and I.hash_vector("", 16) == [0.0] * 16
+    v, same, none = (list(one(spark, t, lambda c: I.hash_embedding(c, 16))) for t in ("order Order flow", "FLOW, order; order", ""))
+    assert math.isclose(sum(x * x for x in v), 1) and v == same and none == [0.0] * 16
 
 
 def test_text(spark):

@@ -28,18 +28,18 @@ def _found(text):
 
 def test_every_node_has_phrases_and_a_decision(spark, nodes):
     folder, rows = nodes
-    got = {r["rec_id"]: r for r in text_queries.t1_t7_phrases_all(spark, folder).collect()}
+    got = {r["rec_id"]: r for r in text_queries.t1_t7_phrases(spark, folder).collect()}
     assert sorted(got) == [r[0] for r in rows]
     for i, _, t, a, *_ in rows:
         th, ah = _found(t), _found(a)
         assert (got[i]["normal"], got[i]["title_hits"], got[i]["abstract_hits"], got[i]["score"]) == (X.match_form(t), "|".join(th), "|".join(ah), 4 * len(th) + len(ah)), t
-    status = {r["rec_id"]: r["previous_status"] for r in text_queries.t8_t12_decisions_all(spark, folder).collect()}
+    status = {r["rec_id"]: r["previous_status"] for r in text_queries.t8_t12_decisions(spark, folder).collect()}
     assert status == {r[0]: "accepted" if _found(r[2]) else "rejected" for r in rows}
 
 
 def test_every_node_has_tokens(spark, nodes):
     folder, rows = nodes
-    got = {r["rec_id"]: r for r in text_queries.t36_t37_tokens_all(spark, folder).collect()}
+    got = {r["rec_id"]: r for r in text_queries.t36_t37_tokens(spark, folder).collect()}
     for i, _, t, *_ in rows:
         low = (t or "").lower()
         assert got[i]["tokens"] == " ".join(sorted(set(re.findall(r"[a-z0-9][a-z0-9_-]*|[一-鿿]+", low))))
@@ -49,7 +49,7 @@ def test_every_node_has_tokens(spark, nodes):
 
 def test_every_node_has_a_feed_entry(spark, nodes):
     folder, rows = nodes
-    got = {r["rec_id"]: (r["title"], r["url"]) for r in flow_queries.s8_feeds_all(spark, folder).collect()}
+    got = {r["rec_id"]: (r["title"], r["url"]) for r in flow_queries.s8_feeds(spark, folder).collect()}
     assert got == {r[0]: ((r[2] or "").replace("\x0b", "").strip(), f"https://x.org/{r[0]}") for r in rows}
 
 
@@ -61,14 +61,14 @@ def test_edges_of_every_nation_and_segment(spark, tmp_path):
     spark.createDataFrame(orders, "o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
     keys = {i: {p for o, p in orders if o == i} for i, _, _ in people}
     want = {(a, b): len(keys[a] & keys[b]) for a, na, sa in people for b, nb, sb in people if a < b and (na, sa) == (nb, sb) and len(keys[a] & keys[b]) >= 3}
-    got = {(x["a"], x["b"]): x["shared"] for x in corpus_queries.j13_keyword_edges_all(spark, str(tmp_path)).collect()}
+    got = {(x["a"], x["b"]): x["shared"] for x in corpus_queries.j13_keyword_edges(spark, str(tmp_path)).collect()}
     assert got == want and {people[a][1] for a, _ in got} == {0, 1, 2, 3, 4}
 
 
 def test_all_metrics_go_through_the_files(spark, tmp_path):
     rows = [(i, i % 9, 1, 1000 * i, 0.05, 100.0, 5.0, 0.04) for i in range(1, 8)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_orderkey long, l_discount double, l_extendedprice double, l_quantity double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = flow_queries.s4_metric_files_all(spark, str(tmp_path)).groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    got = flow_queries.s4_metric_files(spark, str(tmp_path)).groupBy("kind").agg(F.sum("n").alias("n")).collect()
     assert {x["kind"]: x["n"] for x in got} == {"parquet": 7, "csv": 7, "jsonl": 7}
 
 
@@ -81,7 +81,7 @@ def test_context_of_all_records(spark, tmp_path):
         upto += len(s)
         if upto <= 2000:
             want.add((i, d or "unknown", upto))
-    assert {tuple(x) for x in select_queries.r27_context_all(spark, str(tmp_path)).collect()} == want and max(i for i, *_ in want) > 60
+    assert {tuple(x) for x in select_queries.r27_context(spark, str(tmp_path)).collect()} == want and max(i for i, *_ in want) > 60
 
 
 def test_every_query_vector_is_searched(spark, tmp_path):
@@ -91,7 +91,7 @@ def test_every_query_vector_is_searched(spark, tmp_path):
     spark.createDataFrame([(i, None if x is None else x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     unit = {i: x / np.linalg.norm(x) for i, x in v.items() if x is not None and x.any()}
     want = {(q, i) for q in (0, 100, 300) for i in sorted((i for i in unit if i != q and round(unit[i] @ unit[q], 6) >= 0.2), key=lambda i: (-round(unit[i] @ unit[q], 6), i))[:20]}
-    assert {(x["query"], x["vec_id"]) for x in corpus_queries.r8_semantic_all(spark, str(tmp_path)).collect()} == want
+    assert {(x["query"], x["vec_id"]) for x in corpus_queries.r8_semantic(spark, str(tmp_path)).collect()} == want
     e = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
     assert {(x["query"], x["vec_id"]) for x in G.cosine_search(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.2, 20, block_rows=3).collect()} == want
 
@@ -110,4 +110,4 @@ def test_clusters_take_the_best_member(spark):
 def test_find_needs_every_word(spark, tmp_path):
     rows = [(1, "Liquidity", "positive", ["order flow"]), (2, "liquidity", "positive", None), (3, "flow", None, ["x"]), (4, "flow of liquidity", None, None)]
     spark.createDataFrame(rows, "rec_id long, reason string, label string, mechanism_tags array<string>").write.parquet(str(tmp_path / "feedback_memory.parquet"))
-    assert [r["rec_id"] for r in corpus_queries.r25_find_all(spark, str(tmp_path)).collect()] == [1, 4]
+    assert [r["rec_id"] for r in corpus_queries.r25_find(spark, str(tmp_path)).collect()] == [1, 4]

@@ -122,8 +122,12 @@ def title_tokens(c: Column, stop: Sequence[str], least: int = 3) -> Column:
     return F.filter(w, lambda x: (F.length(x) >= least) & ~x.isin(*stop))
 
 
+#: Fixed value: where a text falls into sentences.
+_SENTENCE_END = r"(?<=[。！？.!?])\s+|\n{2,}"
+
+
 def split_sentences(text: str | None) -> list[str]:
-    return [p.strip() for p in re.split(r"(?<=[。！？.!?])\s+|\n{2,}", text or "") if p.strip()]
+    return [p.strip() for p in re.split(_SENTENCE_END, text or "") if p.strip()]
 
 
 def chunks(text: Column, max_chars: int = 1800) -> Column:

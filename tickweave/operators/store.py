@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,26 +10,23 @@ from pyspark.sql import functions as F
 
 
 def first_seen(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key in ``order``; a row with a null key is kept."""
-    return _one(df, keys, [F.col(c).asc_nulls_first() for c in order])
+    """The first row of each key in ``order``, nulls first; a row with a null key is kept."""
+    return _one(df, keys, order, F.min)
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key in ``order``; a row with a null key is kept."""
-    return _one(df, keys, [F.col(c).desc_nulls_last() for c in order])
+    """The last row of each key in ``order``, nulls first; a row with a null key is kept."""
+    return _one(df, keys, order, F.max)
 
 
-def _one(df: DataFrame, keys: Sequence[str], order: list[Column]) -> DataFrame:
+def _one(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick: Callable[[Column], Column]) -> DataFrame:
     # Aggregates on the map side: a hot key sends a row per task. Ties of the order fall to the whole row.
-    asc = not any("DESC" in str(o._jc.toString()) for o in order)
-    names = [n for n in df.columns]
-    sort = [o._jc.toString().split(" ")[0] for o in order]
-    row = F.struct(*(F.col(c) for c in sort), F.struct(*names).alias("row"))
+    row = F.struct(*(F.col(c) for c in order), F.struct(*(F.col(c) for c in df.columns)).alias("row"))
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    best = df.filter(known).groupBy(*keys).agg((F.min if asc else F.max)(row).alias("b")).select("b.row.*")
-    return best.select(*names).unionByName(df.filter(~known))
+    best = df.filter(known).groupBy(*keys).agg(pick(row).alias("b")).select("b.row.*")
+    return best.select(*df.columns).unionByName(df.filter(~known))
 
 
 def fill_merge(df: DataFrame, keys: Sequence[str], order: Sequence[str], fill: Sequence[str], union: Sequence[str] = (), last: bool = False) -> DataFrame:
@@ -91,14 +88,22 @@ def arm_statistics(df: DataFrame, arm: Sequence[str], reward: str, seq: str) ->
     return df.groupBy(*arm).agg(F.count("*").alias("n_trials"), F.avg(reward).alias("mean_reward"), F.count_if(F.col(reward) > 0).alias("n_success"), F.count_if(~(F.coalesce(F.col(reward), F.lit(0.0)) > 0)).alias("n_failure"), F.max(F.when(F.col(reward).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(reward).alias("r"))))["r"].alias("last_reward"))
 
 
-def nearest_rank(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[int]) -> DataFrame:
+def nearest_rank(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[int], parts: int = 64) -> DataFrame:
     """The value at place floor(n p / 100) (from 0, the last at most) of each group's sorted values, for each p.
-    Ranks come from counts of values, so that no group is collected."""
-    n = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("c"))
-    up = W.partitionBy(*group).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    x = n.select(*group, value, F.sum("c").over(up).alias("upto"), F.sum("c").over(W.partitionBy(*group)).alias("n"))
-    at = lambda p: F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return x.groupBy(*group).agg(*(F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(f"p{p}") for p in shares))
+
+    Values are counted, the counts of a group fall into about ``parts`` ranges of values by approximate quantiles, the
+    ranges are added up, and exact places follow inside a range: a task holds a range of a group's values, never all."""
+    known = df.filter(F.col(value).isNotNull()).select(F.to_json(F.struct(*group)).alias("__g"), *group, F.col(value).alias("__v"))
+    cuts = known.groupBy("__g").agg(F.percentile_approx("__v", F.array(*(F.lit(i / parts) for i in range(1, parts))), 1000).alias("__cuts"))
+    n = known.groupBy("__g", *group, "__v").agg(F.count("*").alias("__c")).join(cuts, "__g")
+    n = n.withColumn("__part", F.size(F.filter("__cuts", lambda x: x < F.col("__v")))).drop("__cuts")
+    sums = n.groupBy("__g", "__part").agg(F.sum("__c").alias("__s"))
+    by = W.partitionBy("__g")
+    sums = sums.select("__g", "__part", (F.sum("__s").over(by.orderBy("__part")) - F.col("__s")).alias("__before"), F.sum("__s").over(by).alias("__n"))  # at most ``parts`` rows of a group
+    up = W.partitionBy("__g", "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    x = n.join(sums, ["__g", "__part"]).withColumn("__upto", F.col("__before") + F.sum("__c").over(up))
+    at = lambda p: F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1)
+    return x.groupBy("__g", *group).agg(*(F.min(F.when(F.col("__upto") > at(p), F.col("__v"))).alias(f"p{p}") for p in shares)).drop("__g")
 
 
 def metric_summary(df: DataFrame, group: Sequence[str], metrics: Mapping[str, str], above: Mapping[str, Sequence[float]], obs: str, digits: int | None = 6, missing: str = "skip") -> DataFrame:

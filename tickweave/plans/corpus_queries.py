@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,9 +43,10 @@ def _metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j1_outbound(spark: SparkSession, folder: str) -> DataFrame:
-    """Works that a seed's references name, most cited first."""
+    """Works that the references of the most cited work with known references name, most cited first."""
     w = _latest(spark, folder)
-    seed = w.agg(F.max_by("id", F.struct("cited_by", "id")).alias("seed"))
+    known = _refs(spark, folder).join(w.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id")).distinct()
+    seed = w.join(known, "id", "left_semi").agg(F.max_by("id", F.struct("cited_by", "id")).alias("seed"))
     r = _refs(spark, folder).join(F.broadcast(seed), F.col("source") == F.col("seed"))  # one row
     x = r.select(F.col("target").alias("id")).join(w, "id")
     return x.orderBy(F.desc_nulls_last("cited_by"), F.desc_nulls_last("year"), "id").limit(20).select("id", "year", "cited_by")
@@ -110,14 +113,7 @@ def j12_r5_author_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j13_keyword_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers of a nation and segment whose orders share a priority (keyword overlap within a topic)."""
-    o = table(spark, folder, "orders").join(table(spark, folder, "customer").filter("c_nationkey < 3 and c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"))
-    e = G.shared_keys(o.select(F.col("c_custkey").alias("id"), F.concat_ws("|", "c_nationkey", "o_orderpriority").alias("k")), "id", "k")
-    return e.filter("shared >= 3")
-
-
-def j13_keyword_edges_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same of every nation and segment: a topic is one of both, an edge lies in a topic."""
+    """Customers of one nation and segment whose orders share three priorities (keyword overlap within a topic)."""
     o = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return G.class_shared_keys(o.select(F.col("c_custkey").alias("id"), F.concat_ws("|", "c_nationkey", "c_mktsegment", "o_orderpriority").alias("k")), "id", "k", 3)
 
@@ -146,9 +142,10 @@ def j18_u1_except(spark: SparkSession, folder: str) -> DataFrame:
 
 def j19_lineage(spark: SparkSession, folder: str) -> DataFrame:
     """Each nation and region up to its root by a recursive query, with the change of the key at each step."""
-    table(spark, folder, "nation").createOrReplaceTempView("__nation")
-    q = """WITH RECURSIVE nodes AS (SELECT concat('n', n_nationkey) AS id, concat('r', n_regionkey) AS parent, n_nationkey AS v FROM __nation
-      UNION ALL SELECT DISTINCT concat('r', n_regionkey), 'root', n_regionkey FROM __nation UNION ALL SELECT 'root', CAST(NULL AS STRING), 0),
+    name = f"nation_{uuid.uuid4().hex}"
+    table(spark, folder, "nation").createOrReplaceTempView(name)
+    q = f"""WITH RECURSIVE nodes AS (SELECT concat('n', n_nationkey) AS id, concat('r', n_regionkey) AS parent, n_nationkey AS v FROM {name}
+      UNION ALL SELECT DISTINCT concat('r', n_regionkey), 'root', n_regionkey FROM {name} UNION ALL SELECT 'root', CAST(NULL AS STRING), 0),
     walk AS (SELECT id AS start, id, parent, v, 0 AS step FROM nodes WHERE id LIKE 'n%' UNION ALL SELECT w.start, n.id, n.parent, n.v, w.step + 1 FROM walk w JOIN nodes n ON n.id = w.parent WHERE w.step < 10)
     SELECT start, id, step, v - lag(v) OVER (PARTITION BY start ORDER BY step) AS delta FROM walk"""
     return spark.sql(q)
@@ -163,10 +160,11 @@ def j20_cociters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j21_j22_gap(spark: SparkSession, folder: str) -> DataFrame:
-    """Positions of each record's tags that no accepted record of batch 0 has (position join and anti-join)."""
-    f = table(spark, folder, "feedback_memory").select("rec_id", "batch_no", F.posexplode("mechanism_tags").alias("i", "tag"))
-    known = f.filter("batch_no = 0 and i = 0").select("tag").distinct()
-    return f.filter("batch_no > 0").join(known, "tag", "left_anti").select("rec_id", "i", "tag")
+    """Positions of the tags of later factors that no accepted record of batch 0 has at that place of that factor
+    (position join and anti-join)."""
+    f = table(spark, folder, "feedback_memory").select("rec_id", "batch_no", "factor_id", F.posexplode("mechanism_tags").alias("i", "tag"))
+    known = f.filter("batch_no = 0").select("factor_id", "i").distinct()
+    return f.filter("batch_no > 0").join(known, ["factor_id", "i"], "left_anti").select("rec_id", "i", "tag")
 
 
 # aggregates ------------------------------------------------------------------------------------------------------
@@ -187,13 +185,6 @@ def a5_a6_by_field(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("factor_field", "horizon", "mean_daily_rankic", "daily_rankic_gt_00015_count", "abs_daily_rankic_gt_0002_ratio", "total_obs", "row_count")
 
 
-def a7_a8_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean coefficient of each factor in three horizon tiers side by side."""
-    tier = F.when(F.col("horizon") <= 2, "small").when(F.col("horizon") <= 4, "medium").otherwise("large")
-    p = _metrics(spark, folder).withColumn("tier", tier).groupBy("factor_name").pivot("tier", ["small", "medium", "large"]).agg(F.round(F.avg("daily_ic"), 6))
-    return p
-
-
 def a9_transitions(spark: SparkSession, folder: str) -> DataFrame:
     """Status changes between deliveries of a node, and their number by year."""
     n = table(spark, folder, "graph_nodes").select("id", "role", "year", "rec_id").filter("id is not null")
@@ -302,38 +293,12 @@ def r2_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return _works(spark, folder).filter(F.col("rec_id") == 7).limit(1).select("rec_id", "id", "title")
 
 
-def r6_r7_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes that have every query word, by the weight of the best field of each word."""
-    n = table(spark, folder, "graph_nodes").select("rec_id", F.lower(F.coalesce("title", F.lit(""))).alias("title"), F.lower(F.coalesce("abstract", F.lit(""))).alias("abstract"), F.lower(F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " ")).alias("authors"))
-    words = ("price", "impact")
-    best = [F.greatest(*(F.when(F.contains(c, F.lit(w)), float(v)).otherwise(0.0) for c, v in (("title", 5), ("abstract", 3), ("authors", 6)))) for w in words]
-    x = n.withColumn("score", sum(best, F.lit(0.0)))
-    for b in best:
-        x = x.filter(b > 0)
-    return x.orderBy(F.desc("score"), "title", "rec_id").limit(40).select("rec_id", "score")
-
-
 def r8_semantic(spark: SparkSession, folder: str) -> DataFrame:
-    """Nearest vectors of the first, at 0.2 or more: a stated query against all rows."""
-    e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.filter(F.col("vec_id") == 0).select(F.col("v").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q")))
-    return e.join(F.broadcast(q), F.col("vec_id") != 0).select("vec_id", F.round(s, 6).alias("score")).filter("score >= 0.2").orderBy(F.desc("score"), "vec_id").limit(20)  # one query row
-
-
-def r8_semantic_all(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty nearest vectors of each whose id is divisible by 100, at 0.2 or more, against all rows."""
     e = table(spark, folder, "embeddings")
     return G.cosine_search(e.filter("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.2, 20)
 
 
-def r9_r10_recommend(spark: SparkSession, folder: str) -> DataFrame:
-    """Tags by summed votes of the records."""
-    f = table(spark, folder, "feedback_memory").select("rec_id", "daily_rankic", F.explode("mechanism_tags").alias("tag"))
-    return f.groupBy("tag").agg(F.count("*").alias("votes"), F.round(F.sum(F.coalesce("daily_rankic", F.lit(0.0))), 6).alias("score"))
-
-
 def r13_r16_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Seeds first, then others by impact; one per title, thirty in all, numbered."""
     n = table(spark, folder, "graph_nodes").filter("title is not null").select("rec_id", I.canonical_title(F.col("title")).alias("k"), F.coalesce("is_seed", F.lit(False)).alias("seed"), F.coalesce("global_impact", F.lit(0.0)).alias("impact"))
@@ -357,16 +322,6 @@ def r19_best_variant(spark: SparkSession, folder: str) -> DataFrame:
     return S.best_by(_metrics(spark, folder), ["factor_field"], ["daily_ic", "seq", "horizon", "code"], ["factor_name", "seq", "horizon"])
 
 
-def r22_bandit(spark: SparkSession, folder: str) -> DataFrame:
-    """Upper confidence bound of each arm and focus; the plan is the best."""
-    a = a16_arms(spark, folder)
-    foci = spark.createDataFrame([(i, f"focus{i}") for i in range(6)], "f int, focus string")  # six, fixed
-    total = a.agg(F.sum("n_trials").alias("total"))
-    x = a.crossJoin(F.broadcast(foci)).crossJoin(F.broadcast(total))
-    ucb = F.coalesce("mean_reward", F.lit(0.0)) + F.sqrt(2 * F.ln(F.col("total") + 1) / (F.col("n_trials") + 1)) - 0.01 * F.col("f")
-    return x.select("arm", "focus", F.round(ucb, 6).alias("score"))
-
-
 def r24_r26_order(spark: SparkSession, folder: str) -> DataFrame:
     """Signals by counts (tags, then text length) and time, a stable order of their places."""
     f = table(spark, folder, "feedback_memory").select("rec_id", F.greatest(F.coalesce(F.size("mechanism_tags"), F.lit(0)), F.lit(0)).alias("n_tags"), F.length(F.coalesce("reason", F.lit(""))).alias("n_reason"))
@@ -374,13 +329,6 @@ def r24_r26_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r25_find(spark: SparkSession, folder: str) -> DataFrame:
-    """First records whose JSON has one of two words."""
-    f = table(spark, folder, "feedback_memory")
-    text = F.lower(F.to_json(F.struct("reason", "label", "mechanism_tags")))
-    return f.filter(F.contains(text, F.lit("liquidity")) | F.contains(text, F.lit("flow"))).orderBy("rec_id").limit(30).select("rec_id")
-
-
-def r25_find_all(spark: SparkSession, folder: str) -> DataFrame:
     """First records whose JSON has both words."""
     f = table(spark, folder, "feedback_memory")
     text = F.lower(F.to_json(F.struct("reason", "label", "mechanism_tags")))
@@ -528,7 +476,7 @@ _SETS = lambda s, t: f"(SELECT a.{s} AS a, b.{s} AS b, count(*) / sqrt(max(na) *
 _TOP = lambda rel, k, cols: f"(SELECT DISTINCT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, v DESC) AS rk FROM (SELECT *, a AS u, b AS v FROM {rel} UNION ALL SELECT *, b AS u, a AS v FROM {rel})) WHERE rk <= {k})"
 _AUTH = "au AS (SELECT DISTINCT id, lower(trim(unnest(authors))) AS k FROM l), ae AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM au x JOIN au y ON x.k = y.k AND x.id < y.id WHERE x.k <> '' GROUP BY ALL ORDER BY shared DESC, a, b LIMIT (SELECT 4 * count(*) FROM l))"
 ORACLE = {
-    "j1_outbound": f"WITH {_L}, s AS (SELECT id FROM l ORDER BY cited_by DESC NULLS LAST, id DESC LIMIT 1) SELECT id, year, cited_by FROM l WHERE id IN (SELECT target FROM r WHERE source IN (SELECT id FROM s)) ORDER BY cited_by DESC NULLS LAST, year DESC NULLS LAST, id LIMIT 20",
+    "j1_outbound": f"WITH {_L}, s AS (SELECT id FROM l WHERE id IN (SELECT source FROM r WHERE target IN (SELECT id FROM l)) ORDER BY cited_by DESC NULLS LAST, id DESC LIMIT 1) SELECT id, year, cited_by FROM l WHERE id IN (SELECT target FROM r WHERE source IN (SELECT id FROM s)) ORDER BY cited_by DESC NULLS LAST, year DESC NULLS LAST, id LIMIT 20",
     "j2_j3_inbound": f"WITH {_L} SELECT id, year, cited_by FROM l WHERE id IN (SELECT source FROM r WHERE target = {_MOST})",
     "j4_j5_left": f"WITH {_M}, x AS (SELECT factor_name, arg_max(ROW(daily_ic, n_obs), ROW(seq, code, horizon, daily_ic)) AS m FROM m GROUP BY 1), y AS (SELECT factor_field, avg(daily_ic) AS field_ic FROM m GROUP BY 1), c AS (SELECT 'f' || i AS factor_name, 'g' || (i % 8) AS factor_field FROM range(48) t(i)) SELECT factor_name, round(m[1], 6) AS daily_ic, m[2] AS n_obs, round(field_ic, 6) AS field_ic FROM c LEFT JOIN x USING (factor_name) LEFT JOIN y USING (factor_field)",
     "j6_lineage_delta": "WITH b AS (SELECT *, first_value(rec_id) OVER w AS b, first_value(daily_rankic) OVER w AS v FROM feedback_memory WHERE factor_id IS NOT NULL WINDOW w AS (PARTITION BY factor_id ORDER BY rec_id)) SELECT rec_id, b AS baseline, round(daily_rankic - v, 6) AS delta, daily_rankic - v > 0 AS improved FROM b WHERE rec_id > b",
@@ -537,17 +485,16 @@ ORACLE = {
     "j10_r3_embedding_top_k": f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.e, y.e) AS score FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.3) SELECT a, b, round(score, 5) AS score FROM {_TOP('p', 5, 'a, b, score')}",
     "j11_r4_citation_top_k": f"WITH {_R}, cp AS (SELECT * FROM {_SETS('source', 'target')} WHERE score >= 0.05), cc AS (SELECT * FROM {_SETS('target', 'source')} WHERE score >= 0.05), x AS (SELECT coalesce(cp.a, cc.a) AS a, coalesce(cp.b, cc.b) AS b, coalesce(cp.score, 0) AS coupling, coalesce(cc.score, 0) AS cocitation, round((coalesce(cp.score, 0) + coalesce(cc.score, 0)) / 2, 9) AS score FROM cp FULL JOIN cc ON cp.a = cc.a AND cp.b = cc.b), y AS (SELECT * FROM x WHERE score >= 0.05) SELECT a, b, round(coupling, 6) AS coupling, round(cocitation, 6) AS cocitation, round(score, 6) AS score FROM {_TOP('y', 4, 'a, b, coupling, cocitation, score')}",
     "j12_r5_author_edges": f"WITH {_L}, {_AUTH} SELECT * FROM ae",
-    "j13_keyword_edges": "WITH k AS (SELECT DISTINCT c_custkey AS id, o_orderpriority || c_nationkey AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 3 AND c_mktsegment = 'BUILDING') SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.k = y.k AND x.id < y.id GROUP BY ALL HAVING count(*) >= 3",
+    "j13_keyword_edges": "WITH k AS (SELECT DISTINCT c_custkey AS id, o_orderpriority || c_nationkey || c_mktsegment AS k FROM orders JOIN customer ON o_custkey = c_custkey) SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.k = y.k AND x.id < y.id GROUP BY ALL HAVING count(*) >= 3",
     "j14_citations": f"WITH {_L} SELECT source, target FROM r WHERE source <> target AND source IN (SELECT id FROM l WHERE year >= 2015) AND target IN (SELECT id FROM l WHERE year >= 2015)",
     "j16_j17_ego": f"WITH {_C}, b AS (SELECT source, target FROM c UNION SELECT target, source FROM c), s AS (SELECT source FROM (SELECT source, count(*) AS n FROM b GROUP BY 1) ORDER BY n DESC, source DESC LIMIT 1), i AS (SELECT * FROM (SELECT target AS id FROM b WHERE source IN (SELECT * FROM s) ORDER BY 1 LIMIT 30) UNION SELECT * FROM s) SELECT source, target FROM c WHERE source IN (SELECT id FROM i) AND target IN (SELECT id FROM i)",
     "j18_u1_except": "SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS n_except, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS n_anti",
     "j19_lineage": "WITH p AS (SELECT n_nationkey AS n, n_regionkey AS r FROM nation) SELECT 'n' || n AS start, 'n' || n AS id, 0 AS step, CAST(NULL AS INTEGER) AS delta FROM p UNION ALL SELECT 'n' || n, 'r' || r, 1, r - n FROM p UNION ALL SELECT 'n' || n, 'root', 2, 0 - r FROM p",
     "j20_cociters": f"WITH {_R} SELECT target AS id, count(*) AS n FROM r WHERE source IN (SELECT source FROM r WHERE target = {_MOST}) AND target <> {_MOST} GROUP BY 1",
-    "j21_j22_gap": "WITH f AS (SELECT rec_id, batch_no, unnest(mechanism_tags) AS tag, generate_subscripts(mechanism_tags, 1) - 1 AS i FROM feedback_memory) SELECT rec_id, CAST(i AS INTEGER) AS i, tag FROM f WHERE batch_no > 0 AND (tag IS NULL OR tag NOT IN (SELECT tag FROM f WHERE batch_no = 0 AND i = 0 AND tag IS NOT NULL))",
+    "j21_j22_gap": "WITH f AS (SELECT rec_id, batch_no, factor_id, unnest(mechanism_tags) AS tag, generate_subscripts(mechanism_tags, 1) - 1 AS i FROM feedback_memory) SELECT rec_id, CAST(i AS INTEGER) AS i, tag FROM f WHERE batch_no > 0 AND NOT EXISTS (SELECT 1 FROM f g WHERE g.batch_no = 0 AND g.factor_id = f.factor_id AND g.i = f.i)",
     "a1_a2_counts": f"WITH {_W} SELECT count(*) AS n, count(*) FILTER (year >= 2016) AS n_recent, count(DISTINCT id) AS n_ids FROM w",
     "a3_a4_summary": f"WITH {_M}, {_A4} SELECT * FROM s",
     "a5_a6_by_field": f"WITH {_M}, z AS (SELECT *, coalesce(daily_rankic, 0) AS x FROM m) SELECT factor_field, horizon, round(avg(x), 9) AS mean_daily_rankic, count(*) FILTER (x > 0.0015) AS daily_rankic_gt_00015_count, round(count(*) FILTER (abs(x) > 0.002) / CAST(count(*) AS DOUBLE), 9) AS abs_daily_rankic_gt_0002_ratio, CAST(sum(n_obs) AS BIGINT) AS total_obs, count(*) AS row_count FROM z GROUP BY ALL",
-    "a7_a8_tiers": f"WITH {_M} SELECT factor_name, round(avg(daily_ic) FILTER (horizon <= 2), 6) AS small, round(avg(daily_ic) FILTER (horizon BETWEEN 3 AND 4), 6) AS medium, round(avg(daily_ic) FILTER (horizon > 4), 6) AS large FROM m GROUP BY 1",
     "a9_transitions": "WITH x AS (SELECT *, lag(role) OVER (PARTITION BY id ORDER BY rec_id) AS before FROM graph_nodes WHERE id IS NOT NULL) SELECT before || '->' || coalesce(role, '?') AS transition, year, count(*) AS n FROM x WHERE before IS NOT NULL GROUP BY ALL",
     "a10_confusion": "SELECT CASE WHEN daily_rankic > 0 THEN 'positive' WHEN daily_rankic <= 0 THEN 'negative' ELSE 'pending' END AS auto, coalesce(direction, 'unknown') AS human, count(*) AS n FROM feedback_memory GROUP BY ALL",
     "a11_examples": "WITH x AS (SELECT rec_id, coalesce(source, '?') AS source FROM graph_nodes), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY rec_id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY source) AS n FROM x) SELECT source, rec_id, rank, n FROM y WHERE rank <= 5",
@@ -564,16 +511,13 @@ ORACLE = {
     "a28_store_size": "SELECT count(*) AS n, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars, count(*) >= 8 OR sum(coalesce(length(text), 0)) >= 24000 AS consolidate FROM documents",
     "r1_search_title": f"WITH {_W} SELECT rec_id, title, year, cited_by FROM w WHERE title ILIKE '%order%' AND year >= 2010 ORDER BY cited_by DESC NULLS LAST, year DESC NULLS LAST, rec_id LIMIT 25",
     "r2_lookup": f"WITH {_W} SELECT rec_id, id, title FROM w WHERE rec_id = 7 LIMIT 1",
-    "r6_r7_search": "WITH n AS (SELECT rec_id, lower(coalesce(title, '')) AS title, lower(coalesce(abstract, '')) AS abstract, lower(array_to_string(coalesce(authors, []), ' ')) AS authors FROM graph_nodes), s AS (SELECT *, " + ", ".join(f"greatest(CASE WHEN contains(title, '{w}') THEN 5 ELSE 0 END, CASE WHEN contains(abstract, '{w}') THEN 3 ELSE 0 END, CASE WHEN contains(authors, '{w}') THEN 6 ELSE 0 END) AS {w}" for w in ("price", "impact")) + " FROM n) SELECT rec_id, CAST(price + impact AS DOUBLE) AS score FROM s WHERE price > 0 AND impact > 0 ORDER BY score DESC, title, rec_id LIMIT 40",
-    "r8_semantic": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT x.vec_id, round(list_cosine_similarity(x.e, q.e), 6) AS score FROM v x, v q WHERE q.vec_id = 0 AND x.vec_id <> 0) SELECT * FROM s WHERE score >= 0.2 ORDER BY score DESC, vec_id LIMIT 20",
-    "r9_r10_recommend": "SELECT tag, count(*) AS votes, round(sum(coalesce(daily_rankic, 0)), 6) AS score FROM (SELECT daily_rankic, unnest(mechanism_tags) AS tag FROM feedback_memory) GROUP BY 1",
+    "r8_semantic": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, x.vec_id, round(list_cosine_similarity(x.e, q.e), 6) AS score FROM v x, v q WHERE q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id) SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM s WHERE score >= 0.2) WHERE r <= 20",
     "r13_r16_seeds": f"WITH n AS (SELECT rec_id, {_TK} AS k, coalesce(is_seed, false) AS seed, coalesce(global_impact, 0) AS impact FROM graph_nodes WHERE title IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seed DESC, impact DESC, rec_id DESC) AS r FROM n) SELECT rec_id, seed, CAST(row_number() OVER (ORDER BY seed DESC, impact DESC, rec_id) AS INTEGER) AS rank FROM o WHERE r = 1 ORDER BY rank LIMIT 30",
     "r14_capped": f"WITH {_M}, x AS (SELECT factor_name, code, seq, horizon, round(daily_ic, 9) AS ic FROM m) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY factor_name ORDER BY ic DESC, seq, horizon, code) AS INTEGER) AS rank FROM x) WHERE rank <= 3",
     "r17_r18_labels": f"WITH {_M}, {_A4}, v AS (SELECT factor_name, CAST(mean_daily_ic > 0.002 AS INTEGER) + CAST(daily_ic_gt_00_ratio > 0.5 AS INTEGER) + CAST(abs_daily_ic_gt_003_ratio > 0.3 AS INTEGER) + CAST(mean_qspread > 0 AS INTEGER) AS votes FROM s) SELECT *, CASE WHEN votes >= 4 THEN 'strong' WHEN votes = 3 THEN 'good' WHEN votes = 2 THEN 'watch' ELSE 'weak' END AS label FROM v",
     "r19_best_variant": f"WITH {_M} SELECT factor_field, b[1] AS factor_name, b[2] AS seq, b[3] AS horizon FROM (SELECT factor_field, arg_max(ROW(factor_name, seq, horizon), ROW(daily_ic, seq, horizon, code)) AS b FROM m GROUP BY 1)",
-    "r22_bandit": "WITH a AS (SELECT coalesce(direction, 'unknown') AS arm, count(*) AS n, round(avg(daily_rankic), 9) AS m FROM feedback_memory GROUP BY 1) SELECT arm, 'focus' || f AS focus, round(coalesce(m, 0) + sqrt(2 * ln((SELECT sum(n) FROM a) + 1) / (n + 1)) - CAST(0.01 AS DOUBLE) * f, 6) AS score FROM a, range(6) t(f)",
     "r24_r26_order": "SELECT rec_id, CAST(greatest(coalesce(len(mechanism_tags), 0), 0) AS INTEGER) AS n_tags, CAST(length(coalesce(reason, '')) AS INTEGER) AS n_reason FROM feedback_memory ORDER BY n_tags DESC, n_reason DESC, rec_id LIMIT 50",
-    "r25_find": "WITH f AS (SELECT rec_id, lower(coalesce(reason, '') || coalesce(label, '') || array_to_string(coalesce(mechanism_tags, []), ' ')) AS t FROM feedback_memory) SELECT rec_id FROM f WHERE contains(t, 'liquidity') OR contains(t, 'flow') ORDER BY rec_id LIMIT 30",
+    "r25_find": "WITH f AS (SELECT rec_id, lower(coalesce(reason, '') || coalesce(label, '') || array_to_string(coalesce(mechanism_tags, []), ' ')) AS t FROM feedback_memory) SELECT rec_id FROM f WHERE contains(t, 'liquidity') AND contains(t, 'flow') ORDER BY rec_id LIMIT 30",
     "u2_u3_union_first": f"WITH u AS (SELECT 0 AS src, rec_id, title, NULL AS category FROM works UNION ALL SELECT 1, rec_id, title, category FROM preprints), k AS (SELECT *, {_TK} AS k FROM u) SELECT src, rec_id, k, category FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY src, rec_id) AS rn FROM k) WHERE rn = 1 OR k IS NULL",
     "u4_u12_library": "SELECT rec_id, CASE WHEN canonical_factor_key IN (SELECT canonical_factor_key FROM feedback_memory WHERE batch_no = 0 AND canonical_factor_key IS NOT NULL) THEN 'known' ELSE 'new' END AS state FROM feedback_memory WHERE batch_no > 0 AND canonical_factor_key IS NOT NULL",
     "u5_edges": "SELECT evidence_id, min(rec_id) AS first, max(rec_id) AS last FROM evidence WHERE evidence_id IS NOT NULL GROUP BY 1",

@@ -12,17 +12,13 @@ from tickweave.plans.panels import DAILY, ORDERED, TICKS, daily_returns, rows, t
 
 _FEATURES = ("momentum_sum", "reversal_sum", "mean_return", "volatility", "downside_volatility", "skewness", "kurtosis", "max_return", "min_return", "autocorrelation_lag1", "market_residual_momentum")
 _N, _LEAST = 5, 4
-_SPEC = D.ExperimentSpec("momentum_sum", 2, 2, "2018-01-04", "2018-01-10", max_abs_return=0.5)
+_SPEC = D.ExperimentSpec("momentum_sum", 2, 2, "1996-03-01", "1999-06-01", max_abs_return=0.5)
 BY = "PARTITION BY ticker ORDER BY date"
 
 
 def d_features(spark: SparkSession, folder: str) -> DataFrame:
-    r = D.sanitize(daily_returns(spark, folder), 0.5)
-    keep = r.select("date", "ticker", "ret")
-    for f in _FEATURES:
-        x = D.feature(r, f, _N, _LEAST).select("date", "ticker", F.round("feature", 5).alias(f))
-        keep = keep.join(x, ["date", "ticker"])
-    return keep
+    x = D.features(D.sanitize(daily_returns(spark, folder), 0.5), _FEATURES, _N, _LEAST)
+    return x.select("date", "ticker", "ret", *(F.round(f, 5).alias(f) for f in _FEATURES))
 
 
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +119,7 @@ _LAB = _SANE + (
     f", m AS (SELECT date, ticker, ticker_ord, CASE WHEN count(ret) {rows(2, BY)} >= 2 THEN sum(ret) {rows(2, BY)} END AS feature, (1 + lead(ret, 1) OVER ({BY})) * (1 + lead(ret, 2) OVER ({BY})) - 1 AS label FROM r)"
     ", v AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY feature) + (count(*) OVER (PARTITION BY date, feature) - 1) / CAST(2 AS DOUBLE) AS rf, rank() OVER (PARTITION BY date ORDER BY label) + (count(*) OVER (PARTITION BY date, label) - 1) / CAST(2 AS DOUBLE) AS rl,"
     " row_number() OVER (PARTITION BY date ORDER BY feature, ticker_ord) / CAST(count(*) OVER (PARTITION BY date) AS DOUBLE) AS sh FROM m WHERE feature IS NOT NULL AND label IS NOT NULL)"
-    ", ic AS (SELECT date, covar_samp(rf, rl) / nullif(stddev_samp(rf) * stddev_samp(rl), 0) AS rank_ic, count(*) AS n FROM v GROUP BY date HAVING count(*) >= 5 AND rank_ic IS NOT NULL)"
+    ", ic AS (SELECT date, (count(*) * sum(rf * rl) - sum(rf) * sum(rl)) / nullif(sqrt(count(*) * sum(rf * rf) - sum(rf) * sum(rf)) * sqrt(count(*) * sum(rl * rl) - sum(rl) * sum(rl)), 0) AS rank_ic, count(*) AS n FROM v GROUP BY date HAVING count(*) >= 5 AND rank_ic IS NOT NULL)"
     ", q AS (SELECT date, avg(label) FILTER (sh > 0.8) - avg(label) FILTER (sh <= 0.2) AS spread FROM v GROUP BY date HAVING count(*) >= 5 AND spread IS NOT NULL)"
 )
 _z = lambda x: f"coalesce(CASE WHEN NOT isnan({x}) AND NOT isinf({x}) THEN {x} END, 0)"

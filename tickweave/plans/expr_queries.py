@@ -23,8 +23,8 @@ WINDOWS = {
 EWMS = {"w9_ewm_mean": ["ewm_mean", A, 3], "w10_ewm_std": ["ewm_std", A, 3], "nested": ["where", ["gt", ["rolling_mean", A, 2], A], ["div_mean", ["sub", "bidV1", "askV1"], ["add", "bidV1", "askV1"], 2], ["neg", ["ewm_mean", ["diff", B, 1], 2]]]}
 #: Candidate expressions of the front-end query: two equal ones in other notations, a negated one and faulty ones.
 CANDIDATES = (
-    '["safe_div",["sub","bidV1","askV1"],["add","bidV1","askV1"]]', '{"op":"safe_div","args":[["sub","bidV1","askV1"],{"op":"add","args":["askV1","bidV1"]}]}', '["neg",["zscore",["rolling_mean","volume",20.0],60]]',
-    '["zscore","close"]', '["rank",["log1p",["abs",["clip","volume",0,1000]]]]', '["mystery_op","close"]', '["rolling_mean","ret60s",5]', '["rolling_mean","close",9000]', '["add",["neg","close"],"close"]', '["mul",["sub","close",0],1]',
+    '["div",["sub","askP1","bidP1"],["add","bidP1","askP1"]]', '{"op":"div","args":[["sub","askP1","bidP1"],{"op":"add","args":["askP1","bidP1"]}]}', '["neg",["rolling_std",["diff","close",1.0],12]]',
+    '["zscore","volume"]', '["tanh",["vol_scale",["clip",["pct_change","close",3],-1,1],30]]', '["halve","close"]', '["diff","ret10s",2]', '["shift","volume",-4]', '["add","bidV1",["neg","bidV1"]]', '["mul",1,["add","askP1",0]]',
 )
 
 

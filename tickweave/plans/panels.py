@@ -35,15 +35,17 @@ def rows(n: int, by: str = ORDERED) -> str:
 
 
 def daily_returns(spark: SparkSession, folder: str) -> DataFrame:
-    """date, ticker, ticker_ord, ret: change of the day's mean close against the ticker's day before."""
+    """date, ticker, ticker_ord, ret: change of the mean price of a supplier's line items from month to month, on the
+    first of the month; so each date has as many tickers as there are suppliers."""
     from pyspark.sql import Window as W
 
-    d = tick_panel(spark, folder).groupBy("date", "code").agg(F.avg("close").alias("c")).filter("c is not null")
-    r = d.withColumn("ret", F.round(F.col("c") / F.lag("c").over(W.partitionBy("code").orderBy("date")) - 1, 9))
-    return r.select("date", F.col("code").alias("ticker"), F.col("code").cast("int").alias("ticker_ord"), "ret")
+    l = table(spark, folder, "lineitem").filter("l_shipdate is not null and l_suppkey is not null and l_quantity > 0")
+    d = l.groupBy(F.trunc("l_shipdate", "month").alias("date"), F.col("l_suppkey").cast("int").alias("ticker_ord")).agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("c"))
+    r = d.withColumn("ret", F.round(F.col("c") / F.lag("c").over(W.partitionBy("ticker_ord").orderBy("date")) - 1, 9))
+    return r.select("date", F.lpad(F.col("ticker_ord").cast("string"), 6, "0").alias("ticker"), "ticker_ord", "ret")
 
 
 DAILY = TICKS + (
-    ", daily AS (SELECT date, code AS ticker, CAST(code AS INTEGER) AS ticker_ord, round(c / lag(c) OVER (PARTITION BY code ORDER BY date) - 1, 9) AS ret "
-    "FROM (SELECT date, code, avg(close) AS c FROM panel GROUP BY ALL HAVING c IS NOT NULL))"
+    ", daily AS (SELECT date, lpad(CAST(ticker_ord AS VARCHAR), 6, '0') AS ticker, ticker_ord, round(c / lag(c) OVER (PARTITION BY ticker_ord ORDER BY date) - 1, 9) AS ret "
+    "FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(l_suppkey AS INTEGER) AS ticker_ord, round(avg(l_extendedprice / l_quantity), 6) AS c FROM lineitem WHERE l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL AND l_quantity > 0 GROUP BY ALL))"
 )

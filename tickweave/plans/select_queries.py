@@ -60,12 +60,7 @@ def r23_balanced(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def r27_context(spark: SparkSession, folder: str) -> DataFrame:
-    """Notes of the first sixty records that fit into 2,000 characters, warnings going first."""
-    return _context(table(spark, folder, "feedback_memory").filter("rec_id <= 60"))
-
-
-def r27_context_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same of all records."""
+    """Notes of the records that fit into 2,000 characters, warnings going first."""
     return _context(table(spark, folder, "feedback_memory"))
 
 
@@ -147,7 +142,7 @@ ORACLE = {
     "r11_r12_reserved": "WITH n AS (SELECT rec_id, coalesce(is_seed, false) AS special, round(coalesce(citation_count, 0) / CAST(greatest(1, 2026 - coalesce(year, 2000)) AS DOUBLE), 6) AS rate FROM graph_nodes), f AS (SELECT * FROM n WHERE special ORDER BY rate DESC, rec_id LIMIT 15), u AS (SELECT *, 0 AS tier FROM f UNION ALL SELECT *, 1 FROM n WHERE rec_id NOT IN (SELECT rec_id FROM f)) SELECT rec_id, rate, special, tier FROM u ORDER BY tier, rate DESC, rec_id LIMIT 40",
     "r21_parents": "SELECT rec_id, round(coalesce(daily_rankic, 0), 6) AS priority FROM feedback_memory ORDER BY priority DESC, rec_id DESC LIMIT 12",
     "r23_balanced": "WITH x AS (SELECT rec_id, created_at, row_number() OVER (PARTITION BY coalesce(daily_rankic, 0) > 0 ORDER BY abs(daily_rankic) DESC NULLS LAST, rec_id) AS r FROM feedback_memory), t AS (SELECT rec_id, 'top' AS why FROM x WHERE r <= 5), l AS (SELECT rec_id, 'recent' AS why FROM x ORDER BY created_at DESC NULLS LAST, rec_id LIMIT 1), e AS (SELECT rec_id, 'explore' AS why FROM x WHERE rec_id NOT IN (SELECT rec_id FROM t UNION SELECT rec_id FROM l) ORDER BY sha256('seed-3:' || rec_id) LIMIT 4) SELECT rec_id, max(why) AS why FROM (SELECT * FROM t UNION ALL SELECT * FROM l UNION ALL SELECT * FROM e) GROUP BY 1",
-    "r27_context": "WITH x AS (SELECT rec_id, coalesce(direction, 'unknown') AS tier, CAST(sum(length(reason)) OVER (ORDER BY list_position(['positive', 'negative', 'unknown'], coalesce(direction, 'unknown')), rec_id) AS BIGINT) AS upto FROM feedback_memory WHERE rec_id <= 60 AND reason IS NOT NULL) SELECT * FROM x WHERE upto <= 2000",
+    "r27_context": "WITH x AS (SELECT rec_id, coalesce(direction, 'unknown') AS tier, CAST(sum(length(reason)) OVER (ORDER BY list_position(['positive', 'negative', 'unknown'], coalesce(direction, 'unknown')), rec_id) AS BIGINT) AS upto FROM feedback_memory WHERE reason IS NOT NULL) SELECT * FROM x WHERE upto <= 2000",
     "j8_views": "WITH m AS (SELECT DISTINCT id, source FROM graph_nodes WHERE id IS NOT NULL AND source IS NOT NULL) SELECT e.rec_id, paper_id, m.source FROM evidence e LEFT JOIN m ON id = paper_id WHERE paper_id IS NOT NULL",
     "j15_g4_relations": f"WITH {_L} SELECT source, target, CASE WHEN length(source) % 2 = 0 THEN 'SUPPORTS' ELSE 'EXTENDS' END AS relation, coalesce(cited_by, 0) AS weight FROM r JOIN l ON l.id = target WHERE source IN (SELECT id FROM l) AND right(target, 1) IN ('0', '2', '4', '6', '8')",
     "t32_keep": f"WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), x AS (SELECT doc_id, {_has(('order book', 'volume', 'spread', 'microprice'))} AS wanted, {_has(('forward return', 'tanh', 'library'))} AS blocked FROM d) SELECT *, wanted > blocked AS keep FROM x",

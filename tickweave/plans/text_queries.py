@@ -32,13 +32,6 @@ def _phrases(nodes: DataFrame, title: Column, abstract: Column) -> DataFrame:
 
 
 def t1_t7_phrases(spark: SparkSession, folder: str) -> DataFrame:
-    """Normal form, phrases per field, aliases and weighted score of each node with an ASCII title: the part of
-    ``t1_t7_phrases_all`` that SQL, which can't fold Unicode, can compare."""
-    n = _nodes(spark, folder).filter(F.col("title").rlike(r"^[\x00-\x7F]+$"))
-    return _phrases(n, F.col("title"), F.when(F.col("abstract").rlike(r"^[\x00-\x7F]+$"), F.col("abstract")))
-
-
-def t1_t7_phrases_all(spark: SparkSession, folder: str) -> DataFrame:
     """Normal form, phrases per field, aliases and weighted score of each node; a missing text is an empty one."""
     return _phrases(_nodes(spark, folder), F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
 
@@ -52,16 +45,10 @@ def _decisions(phrases: DataFrame) -> DataFrame:
 
 
 def t8_t12_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """A decision list over phrase scores, the profile chosen by name, and the status before and after; of the nodes
-    of ``t1_t7_phrases``."""
+    """A decision list over the phrase score of each node, the profile chosen by name, and the status before and after."""
     return _decisions(t1_t7_phrases(spark, folder))
 
 
-def t8_t12_decisions_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same of each node."""
-    return _decisions(t1_t7_phrases_all(spark, folder))
-
-
 def t13_t16_t50_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Word-bounded terms, a regex class and a gate of the documents."""
     d = table(spark, folder, "documents").select("doc_id", "text")
@@ -151,11 +138,6 @@ def _tokens(nodes: DataFrame) -> DataFrame:
 
 
 def t36_t37_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens of each node with an ASCII title, the part of ``t36_t37_tokens_all`` that SQL can compare."""
-    return _tokens(_nodes(spark, folder).filter(F.col("title").rlike(r"^[\x00-\x7F]+$")))
-
-
-def t36_t37_tokens_all(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens, title tokens and estimated number of tokens of each node; a missing title is an empty one."""
     return _tokens(_nodes(spark, folder).withColumn("title", F.coalesce("title", F.lit(""))))
 
@@ -196,12 +178,12 @@ def s10_documents(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.size(X.formulas(F.col("text"))).alias("n_formulas"), F.explode(X.latex_sections(F.col("text"))).alias("s")).select("doc_id", "n_formulas", F.col("s.title").alias("title"), F.length("s.text").alias("n_chars"))
 
 
-_N = "(SELECT * FROM graph_nodes)"
-_ascii = "regexp_full_match(title, '[\\x00-\\x7F]+')"
-_norm = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[_-]+', ' ', 'g'), '[^0-9a-z]+', ' ', 'g'))"
+# Folding in SQL: canonical forms, wide letters and lower case, which for the texts of these tables is all there is to fold.
+_WIDE = "".join(chr(0xFEE0 + i) for i in range(33, 127) if i != 39)
+_norm = lambda c: f"trim(regexp_replace(regexp_replace(lower(translate(nfc_normalize(coalesce({c}, '')), '{_WIDE}', '{_WIDE.translate({0xFEE0 + i: i for i in range(33, 127)})}')), '[_\\x{{2010}}\\x{{2011}}\\x{{2013}}\\x{{2014}}-]+', ' ', 'g'), '[^\\pL\\pN]+', ' ', 'g'))"
 _hits = lambda c: "list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(' ' || {c} || ' ', ' {p} ') THEN '{p}' END" for p in PHRASES) + "], lambda x: x IS NOT NULL))"
 _canon = "list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN contains(' ' || t || ' ', ' {a} ') THEN '{c}' END" for a, c in ALIASES.items()) + "], lambda x: x IS NOT NULL)))"
-_P = f"p AS (SELECT rec_id, {_norm('title')} AS t, coalesce(CASE WHEN regexp_full_match(abstract, '[\\x00-\\x7F]+') THEN {_norm('abstract')} END, '') AS a FROM graph_nodes WHERE {_ascii}), h AS (SELECT rec_id, t AS normal, {_hits('t')} AS th, {_hits('a')} AS ah, {_canon} AS ca FROM p)"
+_P = f"p AS (SELECT rec_id, {_norm('title')} AS t, {_norm('abstract')} AS a FROM graph_nodes), h AS (SELECT rec_id, t AS normal, {_hits('t')} AS th, {_hits('a')} AS ah, {_canon} AS ca FROM p)"
 _lower_words = lambda t: f"regexp_matches(lower(text), '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
 _DOI_SQL = "nullif(lower(regexp_replace(regexp_extract(trim(doi), '(10\\.\\d{4,9}/\\S+)', 1), '[.,;)]+$', '')), '')"
 _OA = "regexp_replace(regexp_replace(regexp_replace(trim(openalex_id), '/+$', ''), '^.*/', ''), '(?i)^openalex:', '')"
@@ -222,7 +204,7 @@ ORACLE = {
     "t34_t35_json": "SELECT rec_id, metadata->>'$.track' AS track, CASE WHEN coalesce(trim(metadata->>'$.track'), '') = '' THEN 'null' ELSE 'text' END AS kind, array_to_string(list_sort(list_transform(json_keys(metadata), lambda k: lower(json_extract_string(metadata, '$.\"' || k || '\"')))), ' ') AS flat FROM graph_nodes",
     "t29_dates": "SELECT rec_id, CAST(floor(epoch(added_at)) AS BIGINT) AS epoch, coalesce(date_trunc('second', added_at) >= TIMESTAMP '2025-05-02', true) AS recent, CAST(added_at AS DATE) BETWEEN DATE '2025-05-01' AND DATE '2025-05-31' AS in_month FROM graph_nodes",
     "t31_t33_evidence": "WITH e AS (SELECT rec_id, paper_id, CAST(" + " + ".join(f"CAST(contains(lower(quote), '{k}') AS INTEGER)" for k in ("order", "price", "volume", "spread")) + " AS INTEGER) AS score, section IS NULL AS section_missing FROM evidence WHERE paper_id IS NOT NULL AND quote IS NOT NULL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, rec_id) AS INTEGER) AS rank FROM e) WHERE rank <= 8",
-    "t36_t37_tokens": f"SELECT rec_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9_-]*'))), ' ') AS tokens, array_to_string(list_filter(regexp_extract_all(lower(title), '[a-z][a-z-]+'), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(repr(s) for s in STOP)})), ' ') AS title_tokens, CAST(greatest(1, round_even(length(title) / CAST(4 AS DOUBLE), 0)) AS INTEGER) AS token_estimate FROM graph_nodes WHERE {_ascii}",
+    "t36_t37_tokens": f"SELECT rec_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9][a-z0-9_-]*|[\\x{{4e00}}-\\x{{9fff}}]+'))), ' ') AS tokens, array_to_string(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z][a-z-]+'), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(repr(s) for s in STOP)})), ' ') AS title_tokens, CAST(greatest(1, round_even(length(coalesce(title, '')) / CAST(4 AS DOUBLE), 0)) AS INTEGER) AS token_estimate FROM graph_nodes",
     "t40_t49_scores": f"SELECT rec_id, CASE WHEN daily_rankic IS NOT NULL THEN printf('%.2f', floor(abs(daily_rankic) * 100 + CAST(1e-9 AS DOUBLE)) / 100) END AS bucket, CASE WHEN daily_rankic IS NULL THEN 'inconclusive' WHEN daily_rankic >= 0.02 THEN 'supported' ELSE 'refuted' END AS verdict, concat_ws(',', CASE WHEN coalesce(trim(reason), '') = '' THEN 'no_reason' END, CASE WHEN {_tags} <= 0 THEN 'no_tags' END, CASE WHEN coalesce(direction, 'unknown') = 'unknown' THEN 'no_direction' END) AS faults, round(CASE WHEN daily_rankic > 0 AND {_tags} > 0 THEN (daily_rankic * 100 + {_tags}) / 2 WHEN daily_rankic > 0 THEN daily_rankic * 100 WHEN {_tags} > 0 THEN {_tags} ELSE 0.5 END, 2) AS gate, CAST(least(10, 3 * {_tags}) AS INTEGER) AS capped, coalesce(label IN ('positive', 'warning'), false) AS stored FROM feedback_memory",
 }
-QUERIES = {f.__name__: f for f in (t1_t7_phrases, t1_t7_phrases_all, t8_t12_decisions, t8_t12_decisions_all, t13_t16_t50_terms, t18_topics, t19_t24_ids, t21_arxiv, t25_urls, t26_t27_keys, t28_embedding_text, t29_dates, t30_chunks, t31_t33_evidence, t34_t35_json, t36_t37_tokens, t36_t37_tokens_all, t38_hash_embedding, t39_best_match, t40_t49_scores, s10_documents)}
+QUERIES = {f.__name__: f for f in (t1_t7_phrases, t8_t12_decisions, t13_t16_t50_terms, t18_topics, t19_t24_ids, t21_arxiv, t25_urls, t26_t27_keys, t28_embedding_text, t29_dates, t30_chunks, t31_t33_evidence, t34_t35_json, t36_t37_tokens, t38_hash_embedding, t39_best_match, t40_t49_scores, s10_documents)}

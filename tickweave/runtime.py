@@ -54,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
         return given
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="tickweave-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
