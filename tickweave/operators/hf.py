@@ -134,14 +134,23 @@ class Rolling:
     def volume_weighted(self, x, v, n):
         return safe_div(self.sum(x * v, n), self.sum(v, n) + 1e-6)
 
+    def prepared(self, df, d):
+        """``df`` with the changes that vector_zdistance and noise_trace take their windows over, each computed once
+        instead of once for every window over it."""
+        full = safe_div(depth(df, "bid", d) + depth(df, "ask", d), num(df, "volume") + 1e-6)
+        cols = {f"__change_{s}P{i}": self.diff(num(df, f"{s}P{i}"), 1) for i in range(1, d + 1) for s in ("bid", "ask")}
+        cols |= {"__mid_return": self.mid_log_return(df), "__change_spread": self.diff(spread(df), 1), "__change_imbalance": self.diff(book_imbalance(df, d), 1), "__change_depth": self.diff(full, 1)}
+        return df.withColumns(cols)
+
     def vector_zdistance(self, df, d, n):
-        parts = [F.pow(self.zscore(x, n), 2) for i in range(1, d + 1) for x in (num(df, f"bidV{i}"), num(df, f"askV{i}"), self.diff(num(df, f"bidP{i}"), 1), self.diff(num(df, f"askP{i}"), 1))]
+        """``df`` from ``prepared``."""
+        parts = [F.pow(self.zscore(x, n), 2) for i in range(1, d + 1) for x in (num(df, f"bidV{i}"), num(df, f"askV{i}"), F.col(f"__change_bidP{i}"), F.col(f"__change_askP{i}"))]
         return z0(F.sqrt(reduce(lambda a, b: a + b, parts)))
 
-    def noise_trace(self, df, n, d=5):
-        full = safe_div(depth(df, "bid", d) + depth(df, "ask", d), num(df, "volume") + 1e-6)
-        parts = (self.mid_log_return(df), self.diff(spread(df), 1), self.diff(book_imbalance(df, d), 1), self.diff(full, 1))
-        return z0(reduce(lambda a, b: a + b, (F.pow(self.std(x, n), 2) for x in parts)))
+    def noise_trace(self, df, n):
+        """``df`` from ``prepared``."""
+        parts = ("__mid_return", "__change_spread", "__change_imbalance", "__change_depth")
+        return z0(reduce(lambda a, b: a + b, (F.pow(self.std(F.col(x), n), 2) for x in parts)))
 
 
 def adjusted_skewness(x: Column, w) -> Column:

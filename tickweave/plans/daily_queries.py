@@ -74,8 +74,8 @@ def s2_unpivot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def h_helpers(spark: SparkSession, folder: str) -> DataFrame:
-    df = tick_panel(spark, folder)
     r = H.Rolling()
+    df = r.prepared(tick_panel(spark, folder), 1)
     c, v, a, b, l = (F.col(x) for x in ("close", "volume", "askP1", "bidP1", "last_close"))
     cols = {
         "h1_num": H.num(df, "nothing"), "h2_sum_cols": H.sum_cols([a, b]), "h3_safe_div": H.safe_div(c * 0.3771912837, v), "h4_mean": r.mean(c, 4), "h4_sum": r.sum(c, 4), "h5_std": r.std(c, 4), "h6_cov": r.cov(c, b * 0.3771912837, 6), "h6_corr": r.corr(a, b, 6),
@@ -83,7 +83,7 @@ def h_helpers(spark: SparkSession, folder: str) -> DataFrame:
         "h15_quantile": r.quantile(c, 5, 0.3), "h16_skew": r.skew(c, 6), "h17_mean": r.expanding(c * 0.3771912837, "mean"), "h17_min": r.expanding(c, "min"), "h17_max": r.expanding(c, "max"), "h18_cumsum": r.cumsum(c), "h19_rank": r.rank(c) * 0.3771912837, "h20_shift": r.shift(c, 2), "h20_diff": r.diff(c, 2), "h20_pct": r.pct_change(c, 2),
         "h21_sign": H.sign(c - l), "h21_abs": H.absolute(c - l), "h21_sqrt": H.sqrt(c), "h21_exp": H.exp(c - l), "h21_log": H.log(c), "h21_clip": H.clip(c, 5, 50), "h22_first": r.first(c), "h23_open": r.session_open(df), "h24_zscore": r.zscore(c, 12), "h25_where": H.where(c > l, c, l),
         "h26_mid": H.mid_price(df), "h26_log_return": r.mid_log_return(df), "h26_spread": H.spread(df), "h27_depth": H.depth(df, "bid", 1), "h27_imbalance": H.book_imbalance(df, 1), "h28_pressure": H.lob_pressure(df, 1, 0.5), "h29_space": H.space_decay([F.col("bidV1"), -F.col("askV1")], 0.5),
-        "h31_weighted": r.volume_weighted(c, v, 5), "h32_distance": r.vector_zdistance(df, 1, 20), "h33_noise": F.log1p(r.noise_trace(df, 20, 1)), "h34_cost": H.cost_adjusted_score(c - l, r.std(c, 4), H.spread(df)), "h34_band": H.no_trade_band_distance(c - l, H.spread(df), r.std(c, 4)),
+        "h31_weighted": r.volume_weighted(c, v, 5), "h32_distance": r.vector_zdistance(df, 1, 20), "h33_noise": F.log1p(r.noise_trace(df, 20)), "h34_cost": H.cost_adjusted_score(c - l, r.std(c, 4), H.spread(df)), "h34_band": H.no_trade_band_distance(c - l, H.spread(df), r.std(c, 4)),
     }
     return df.select("seq", *(F.round(x, 5).alias(k) for k, x in cols.items()))
 
