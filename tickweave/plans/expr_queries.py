@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators import expr as E
-from tickweave.plans.panels import ORDERED, TICKS, rows, tick_panel
+from tickweave.plans.panels import ORDERED, TICKS, ewm_sql, rows, tick_panel
 
 A, B = "close", "volume"
 SCALARS = {
@@ -43,7 +43,13 @@ def w_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w_ewm(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(E.evaluate(tick_panel(spark, folder), EWMS, keep=["seq"]), EWMS)
+    names = ["w9_ewm_mean", "nested"]
+    return _rounded(E.evaluate(tick_panel(spark, folder), {k: EWMS[k] for k in names}, keep=["seq"]), names)
+
+
+def w10_ewm_std(spark: SparkSession, folder: str) -> DataFrame:
+    """Tested against pandas: by sums, as in SQL, the deviation loses its places after long gaps."""
+    return _rounded(E.evaluate(tick_panel(spark, folder), {"w10_ewm_std": EWMS["w10_ewm_std"]}, keep=["seq"]), ["w10_ewm_std"])
 
 
 def w21_derived(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,8 +129,9 @@ _CORR = " UNION ALL ".join(
 ORACLE = {
     "e_scalars": f"WITH {TICKS} SELECT seq, " + ", ".join(f"{v} AS {k}" for k, v in _E.items()) + " FROM panel",
     "w_windows": f"WITH {TICKS}, {_FILLED} SELECT seq, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _W.items()) + " FROM x",
+    "w_ewm": f"WITH {TICKS}, p1 AS (SELECT *, avg({A}) {rows(2)} AS m2, avg((bidV1 - askV1) / (bidV1 + askV1 + {_EPS})) {rows(2)} AS dm, {B} - lag({B}, 1) OVER ({ORDERED}) AS dv FROM panel), {ewm_sql('p1', {'a': (A, 3, True), 'v': ('dv', 2, True)})} SELECT seq, round(m_a, 6) AS w9_ewm_mean, round(CASE WHEN coalesce(m2 > {A}, false) THEN dm ELSE -m_v END, 6) AS nested FROM ewm",
     "w21_derived": f"WITH {TICKS} SELECT seq, " + ", ".join(f"round({v}, 10) AS {k}" for k, v in _DERIVED.items()) + " FROM panel",
     "f9_correlation_equivalent": f"WITH {TICKS}, y AS (SELECT avg({A}) {rows(5)} AS mean5, avg({A}) {rows(6)} AS mean6, -{A} AS neg, volume FROM panel) {_CORR}",
     "f13_factor_values": f"WITH {TICKS}, y AS (SELECT *, avg({A} / (last_close + {_EPS})) {rows(5)} AS m FROM panel) SELECT seq AS row_index, 'std_div_mean_5_20' AS factor_id, round(stddev_samp(m) {rows(20)}, 6) AS value FROM y",
 }
-QUERIES = {"e_scalars": e_scalars, "w_windows": w_windows, "w_ewm": w_ewm, "w21_derived": w21_derived, "f_front_end": f_front_end, "f9_correlation_equivalent": f9_correlation_equivalent, "f13_factor_values": f13_factor_values}
+QUERIES = {"e_scalars": e_scalars, "w_windows": w_windows, "w_ewm": w_ewm, "w10_ewm_std": w10_ewm_std, "w21_derived": w21_derived, "f_front_end": f_front_end, "f9_correlation_equivalent": f9_correlation_equivalent, "f13_factor_values": f13_factor_values}

@@ -49,3 +49,31 @@ DAILY = TICKS + (
     ", daily AS (SELECT date, lpad(CAST(ticker_ord AS VARCHAR), 6, '0') AS ticker, ticker_ord, round(c / lag(c) OVER (PARTITION BY ticker_ord ORDER BY date) - 1, 9) AS ret "
     "FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(l_suppkey AS INTEGER) AS ticker_ord, round(avg(l_extendedprice / l_quantity), 6) AS c FROM lineitem WHERE l_shipdate IS NOT NULL AND l_suppkey IS NOT NULL AND l_quantity > 0 GROUP BY ALL))"
 )
+
+
+
+_UPTO = f"OVER ({ORDERED} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def ewm_sql(source: str, columns: dict[str, tuple[str, float, bool]]) -> str:
+    """SQL of exponential means (``m_name``) of expressions over the CTE ``source``, each with its half-life. With
+    ``adjust`` by sums of weights that fall by half every so many rows. Without, the old mean and the new value share
+    the weight at each value, and the products of those shares are sums of logarithms."""
+    whole = f"OVER ({ORDERED} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    before = f"OVER ({ORDERED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    out: list[list[str]] = [[], [], [], [], []]
+    for n, (x, half, adjust) in columns.items():
+        d = f"CAST({0.5 ** (1 / half)!r} AS DOUBLE)"
+        out[0] += [f"{x} AS x_{n}"]
+        out[1] += [f"x_{n} - first_value(x_{n} IGNORE NULLS) {whole} AS y_{n}, first_value(x_{n} IGNORE NULLS) {whole} AS f_{n}, i - max(CASE WHEN x_{n} IS NOT NULL THEN i END) {before} AS g_{n}"]
+        if adjust:
+            out[2] += [f"CASE WHEN x_{n} IS NOT NULL THEN power({d}, nn // 2 - i) END AS w_{n}"]
+            out[3] += [f"sum(w_{n}) {_UPTO} AS a_{n}, sum(w_{n} * y_{n}) {_UPTO} AS c_{n}"]
+            out[4] += [f"c_{n} / a_{n} + f_{n} AS m_{n}"]
+        else:
+            old = f"(power({d}, g_{n}) / (power({d}, g_{n}) + 1 - {d}))"
+            out[2] += [f"CASE WHEN x_{n} IS NOT NULL AND g_{n} IS NOT NULL THEN {old} END AS o_{n}, sum(CASE WHEN x_{n} IS NOT NULL AND g_{n} IS NOT NULL THEN ln{old} END) {_UPTO} AS l_{n}"]
+            out[3] += [f"exp(coalesce(l_{n}, 0)) * sum((1 - o_{n}) * y_{n} / exp(l_{n})) {_UPTO} AS c_{n}"]
+            out[4] += [f"coalesce(c_{n}, CASE WHEN max(x_{n}) {_UPTO} IS NOT NULL THEN 0 END) + f_{n} AS m_{n}"]
+    steps = [f"SELECT *, {', '.join(out[0])} FROM (SELECT *, row_number() OVER ({ORDERED}) AS i, count(*) {whole} AS nn FROM {source})"] + [f"SELECT *, {', '.join(v)} FROM e{k}" for k, v in enumerate(out[1:])]
+    return ", ".join(f"{'ewm' if k == 4 else f'e{k}'} AS ({v})" for k, v in enumerate(steps))
