@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickweave.operators import expr as E
 from tickweave.operators import retrieval as R
 from tickweave.operators import store as S
+from tickweave.runtime import spread_join
 
 ROWS = [
     (1, "W1", "Volatility of limit orders", "queues", None, "Ann Berg", "JTS"),
@@ -88,3 +89,13 @@ def test_nearest_rank_by_ranges(spark):
         v = sorted(x for k, x in rows if k == g and x is not None)
         assert [got[g][f"p{p}"] for p in (0, 50, 99, 100)] == [v[min(len(v) * p // 100, len(v) - 1)] for p in (0, 50, 99, 100)]
     assert "none" not in got
+
+
+def test_split_keys_join_the_same(spark):
+    r = random.Random(2)
+    a = spark.createDataFrame([(r.choice([1, 1, 1, 2, 3, None]), i) for i in range(90)], "k int, a int")
+    b = spark.createDataFrame([(r.choice([1, 1, 2, 4, None]), i) for i in range(70)], "k int, b int")
+    want = sorted(map(tuple, a.join(b, "k").select("k", "a", "b").collect()))
+    for hot in (1, 7, 40, 1000):
+        assert sorted(map(tuple, spread_join(a, b, "k", hot).select("k", "a", "b").collect())) == want
+    assert spread_join(a.filter("false"), b, "k", 1).count() == 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tickweave.operators.components import components
-from tickweave.runtime import written
+from tickweave.runtime import spread_join, written
 
 #: Rows of one block of the all-pairs product.
 BLOCK_ROWS = 1024
@@ -57,7 +57,8 @@ def set_cosine_pairs(items: DataFrame, ident: str, item: str, least: float) -> D
     """(a, b, common, score) of every two sets, a < b, of a cosine |A & B| / sqrt(|A| |B|) of ``least`` (above 0).
 
     Prefix filter: items in order of rarity; two such sets share one of the first |A| - ceil(least^2 |A|) + 1 items
-    of each. So only those items make candidates, and the frequent ones, which are hot, hardly ever do."""
+    of each. So only those items make candidates; at a high limit the frequent ones hardly ever do, at a low one (an n-th
+    of the largest set or less) all do, and the pairs are as many as the definition asks for. Hot items are split."""
     if least <= 0:
         raise ValueError("a limit above 0; at 0 every two sets are a pair")
     x = items.select(F.col(ident).alias("id"), F.col(item).alias("x")).dropna().distinct()
@@ -67,7 +68,7 @@ def set_cosine_pairs(items: DataFrame, ident: str, item: str, least: float) -> D
     short = r.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(least * least) * F.col("n") - 1e-9) + 1).select("id", "x", "n")
     l, m = short.select("x", F.col("id").alias("a"), F.col("n").alias("na")), short.select("x", F.col("id").alias("b"), F.col("n").alias("nb"))
     near = F.least("na", "nb") >= F.lit(least * least) * F.greatest("na", "nb") - 1e-9
-    cand = l.join(m, "x").filter("a < b").filter(near).select("a", "b", "na", "nb").distinct()
+    cand = spread_join(l, m, "x").filter("a < b").filter(near).select("a", "b", "na", "nb").distinct()
     has = r.select("id", "x")
     common = cand.join(has.withColumnRenamed("id", "a"), "a").join(has.withColumnRenamed("id", "b"), ["b", "x"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
     return common.withColumn("score", F.col("common") / F.sqrt(F.col("na") * F.col("nb"))).filter(F.col("score") >= least - 1e-12).select("a", "b", "common", "score")
@@ -81,9 +82,9 @@ def top_k(pairs: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def shared_keys(rows: DataFrame, ident: str, key: str) -> DataFrame:
-    """(a, b, shared) of every two things with a common key, a < b, by an equi-join on the key."""
+    """(a, b, shared) of every two things with a common key, a < b, by an equi-join on the key, of which hot ones are split."""
     x = rows.select(F.col(ident).alias("id"), F.lower(F.trim(F.col(key).cast("string"))).alias("k")).filter("id is not null and k != ''").distinct()
-    return x.withColumnRenamed("id", "a").join(x.withColumnRenamed("id", "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return spread_join(x.withColumnRenamed("id", "a"), x.withColumnRenamed("id", "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def class_shared_keys(rows: DataFrame, ident: str, key: str, least: int) -> DataFrame:
@@ -92,7 +93,7 @@ def class_shared_keys(rows: DataFrame, ident: str, key: str, least: int) -> Data
     x = rows.select(F.col(ident).alias("id"), F.lower(F.trim(F.col(key).cast("string"))).alias("k")).filter("id is not null and k != ''").distinct()
     sets = written(x.groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("keys")), "key-sets").filter(F.size("keys") >= least)
     keys = sets.select("keys").distinct().select("keys", F.explode("keys").alias("k"))
-    near = keys.withColumnRenamed("keys", "ka").join(keys.withColumnRenamed("keys", "kb"), "k").groupBy("ka", "kb").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    near = spread_join(keys.withColumnRenamed("keys", "ka"), keys.withColumnRenamed("keys", "kb"), "k").groupBy("ka", "kb").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     l, r = (sets.select(F.col("id").alias(i), F.col("keys").alias(k)) for i, k in (("a", "ka"), ("b", "kb")))
     return near.join(l, "ka").join(r, "kb").filter("a < b").select("a", "b", "shared")
 

@@ -15,12 +15,13 @@ from tickweave.runtime import written
 def portfolio(df: DataFrame, ident: str, score: str, cost: str, topic: str, n: int, budget: float, per_topic: int) -> DataFrame:
     """The best by score, ties by id, while count, cost and topic limits allow; what doesn't fit is passed over.
 
-    Sorted rows stream to the driver until ``n`` are taken, so it holds one batch and the picks. Null scores and
-    costs are out; a null topic is a topic."""
+    Sorted rows stream to the driver until ``n`` are taken, or the cheapest row fits no more, or every topic is full; it
+    holds one batch and the picks. Null scores and costs are out; a null topic is a topic."""
     rows = df.select(ident, score, cost, F.coalesce(F.col(topic).cast("string"), F.lit("?")).alias("topic")).dropna(subset=[ident, score, cost]).orderBy(F.desc(score), ident)
     picks, spent, used = [], 0.0, Counter()
+    bounds = rows.agg(F.min(cost).alias("least"), F.countDistinct("topic").alias("topics")).first()
     for r in rows.toLocalIterator():
-        if len(picks) >= n:
+        if len(picks) >= min(n, per_topic * bounds["topics"]) or spent + bounds["least"] > budget:
             break
         if spent + r[cost] <= budget and used[r["topic"]] < per_topic:
             spent += r[cost]

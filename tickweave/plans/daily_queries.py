@@ -90,8 +90,8 @@ def h_helpers(spark: SparkSession, folder: str) -> DataFrame:
 
 def h10_decays(spark: SparkSession, folder: str) -> DataFrame:
     df = tick_panel(spark, folder).withColumn("prod", F.col("close") * F.col("volume"))
-    out = H.decays(df, [("h10_decay", "close", 20.0), ("h11_ewma", "close", H.half_life(0.05)), ("h30_interaction", "prod", 20.0)])
-    return out.select("seq", *(F.round(c, n).alias(c) for c, n in (("h10_decay", 3), ("h11_ewma", 3), ("h30_interaction", 0))))
+    out = H.decays(df, [("h10_decay", "close", 20.0), ("h11_ewma", "close", H.half_life(0.0637)), ("h30_interaction", "prod", 20.0)])
+    return out.select("seq", *(F.round(c, n).alias(c) for c, n in (("h10_decay", 4), ("h11_ewma", 4), ("h30_interaction", 0))))
 
 
 def h37_variants(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,7 +175,7 @@ ORACLE = {
     "d16_axes": f"WITH {DAILY} SELECT date, ticker, 'a' AS only_in FROM daily WHERE ret IS NULL",
     "s2_unpivot": f"WITH {DAILY}, d AS (SELECT DISTINCT date FROM daily), t AS (SELECT CAST(unnest(range(10)) AS INTEGER) AS i) SELECT d.date, CAST(i AS VARCHAR) AS ticker, i AS ticker_ord, round((SELECT round(avg(ret), 9) FROM daily x WHERE x.date = d.date AND right(ticker, 1) = CAST(i AS VARCHAR)), 7) AS ret FROM d, t",
     "h_helpers": f"WITH {_BASE} SELECT seq, {_R(_H, 5)} FROM x",
-    "h10_decays": f"WITH {TICKS}, {ewm_sql('panel', {'d': ('close', 20.0, False), 'e': ('close', H.half_life(0.05), False), 'p': ('close * volume', 20.0, False)})} SELECT seq, round(coalesce(m_d, 0), 3) AS h10_decay, round(coalesce(m_e, 0), 3) AS h11_ewma, round(coalesce(m_p, 0), 0) AS h30_interaction FROM ewm",
+    "h10_decays": f"WITH {TICKS}, {ewm_sql('panel', {'d': ('close', 20.0, False), 'e': ('close', H.half_life(0.0637), False), 'p': ('close * volume', 20.0, False)})} SELECT seq, round(coalesce(m_d, 0), 4) AS h10_decay, round(coalesce(m_e, 0), 4) AS h11_ewma, round(coalesce(m_p, 0), 0) AS h30_interaction FROM ewm",
     "h37_variants": f"WITH {TICKS}, y AS (SELECT *, volume AS s FROM panel) SELECT seq, {_R(_V, 5)} FROM y",
 }
 QUERIES = {"flagship_bar_rank_ic": flagship_bar_rank_ic, "d_features": d_features, "d11_label": d11_label, "d13_rank_ic": d13_rank_ic, "d14_spread": d14_spread, "d15_evaluation": d15_evaluation, "d12_d17_experiment": d12_d17_experiment, "d16_axes": d16_axes, "s2_unpivot": s2_unpivot, "h_helpers": h_helpers, "h10_decays": h10_decays, "h37_variants": h37_variants}

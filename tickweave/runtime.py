@@ -109,6 +109,25 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, parts:
     return big.join(F.broadcast(hot), keys).unionByName(big.join(names, keys, "left_anti").join(small.filter(~is_hot), keys))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, hot: int = 10_000) -> DataFrame:
+    """Inner join of two sides of which both may repeat a key. Rows of a key that either side has more than ``hot``
+    times fall into parts of about ``hot`` on each side, and each two parts meet by themselves, so that no task gets a
+    hot key whole. The result is the same for every ``hot``."""
+    a, b = (d.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count("*").alias(n)) for d, n in ((left, "__a"), (right, "__b")))
+    many = written(a.join(b, "__k").filter(F.greatest("__a", "__b") > hot), "hot-keys")
+    if many.isEmpty():
+        return left.join(right, key)
+    of = lambda c: F.ceil(F.col(c) / hot).cast("int")
+    part = lambda c: F.floor(F.rand(7) * of(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), of(c) - 1))
+    on = F.col(key) == F.col("__k")
+    # Parts are drawn before rows are repeated, and written: drawn anew for a lost task they would not fit together.
+    x = written(left.join(many, on).withColumn("__i", part("__a")).drop("__k", "__a"), "hot-left").withColumn("__j", every("__b")).drop("__b")
+    y = written(right.join(many, on).withColumn("__j", part("__b")).drop("__k", "__b"), "hot-right").withColumn("__i", every("__a")).drop("__a")
+    usual = left.join(many, on, "left_anti").join(right, key)
+    return usual.unionByName(x.join(y, [key, "__i", "__j"]).drop("__i", "__j"))
+
+
 def wall_micros(ts: Column) -> Column:
     """Microseconds since midnight of a timestamp's wall clock, with or without zone."""
     return (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
