@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickweave.operators import expr as E
 from tickweave.operators import retrieval as R
 from tickweave.operators import store as S
+from tickweave.operators.plugins import encoded, user_factor
 from tickweave.runtime import spread_join
 
 ROWS = [
@@ -99,3 +100,14 @@ def test_split_keys_join_the_same(spark):
     for hot in (1, 7, 40, 1000):
         assert sorted(map(tuple, spread_join(a, b, "k", hot).select("k", "a", "b").collect())) == want
     assert spread_join(a.filter("false"), b, "k", 1).count() == 0
+
+
+def test_plugins(spark):
+    df = spark.createDataFrame([("2020-01-01", c, i, float(i), "clash") for c in ("a", "b", None) for i in (3, 1, 2)], "date string, code string, delay_time int, close double, id string").withColumn("seq", F.col("delay_time"))
+    got = user_factor(df, lambda p: 1 / (p["close"] - 1)).collect()
+    assert {(r["code"], r["delay_time"]): r["factor"] for r in got} == {(c, i): {1: None, 2: 1.0, 3: 0.5}[i] for c in ("a", "b", None) for i in (1, 2, 3)}
+    x = encoded(df, F.col("delay_time"), F.col("code"), lambda: lambda texts: [[len(t), 0] for t in texts], batch=2).collect()
+    assert sorted((r["id"], r["vector"]) for r in x) == sorted((i, [float(bool(c)), 0.0]) for c in ("a", "b", None) for i in (1, 2, 3))
+    assert user_factor(df.filter("false"), lambda p: p["close"]).count() == 0
+    with pytest.raises(Exception, match="1 values for 3 rows"):
+        user_factor(df, lambda p: p["close"].head(1)).collect()

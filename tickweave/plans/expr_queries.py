@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators import expr as E
+from tickweave.operators.plugins import user_factor
 from tickweave.plans.panels import ORDERED, TICKS, ewm_sql, rows, tick_panel
 
 A, B = "close", "volume"
@@ -94,6 +96,15 @@ def f13_factor_values(spark: SparkSession, folder: str) -> DataFrame:
     return x.select(F.col("seq").alias("row_index"), F.lit("std_div_mean_5_20").alias("factor_id"), F.round("value", 6).alias("value"))
 
 
+def user_factor_function(spark: SparkSession, folder: str) -> DataFrame:
+    """A factor that a user wrote in Python, by panel."""
+    def compute(pdf: pd.DataFrame) -> pd.Series:
+        return pdf["close"] - pdf["close"].shift(1)
+
+    x = user_factor(tick_panel(spark, folder).select("date", "code", "delay_time", "seq", "close"), compute)
+    return x.select("seq", F.round("factor", 6).alias("factor"))
+
+
 def t(c: str) -> str:
     return f"coalesce({c} <> 0, true)"
 
@@ -130,8 +141,9 @@ ORACLE = {
     "e_scalars": f"WITH {TICKS} SELECT seq, " + ", ".join(f"{v} AS {k}" for k, v in _E.items()) + " FROM panel",
     "w_windows": f"WITH {TICKS}, {_FILLED} SELECT seq, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _W.items()) + " FROM x",
     "w_ewm": f"WITH {TICKS}, p1 AS (SELECT *, avg({A}) {rows(2)} AS m2, avg((bidV1 - askV1) / (bidV1 + askV1 + {_EPS})) {rows(2)} AS dm, {B} - lag({B}, 1) OVER ({ORDERED}) AS dv FROM panel), {ewm_sql('p1', {'a': (A, 3, True), 'v': ('dv', 2, True)})} SELECT seq, round(m_a, 6) AS w9_ewm_mean, round(CASE WHEN coalesce(m2 > {A}, false) THEN dm ELSE -m_v END, 6) AS nested FROM ewm",
+    "user_factor_function": f"WITH {TICKS} SELECT seq, round(close - lag(close) OVER ({ORDERED}), 6) AS factor FROM panel",
     "w21_derived": f"WITH {TICKS} SELECT seq, " + ", ".join(f"round({v}, 10) AS {k}" for k, v in _DERIVED.items()) + " FROM panel",
     "f9_correlation_equivalent": f"WITH {TICKS}, y AS (SELECT avg({A}) {rows(5)} AS mean5, avg({A}) {rows(6)} AS mean6, -{A} AS neg, volume FROM panel) {_CORR}",
     "f13_factor_values": f"WITH {TICKS}, y AS (SELECT *, avg({A} / (last_close + {_EPS})) {rows(5)} AS m FROM panel) SELECT seq AS row_index, 'std_div_mean_5_20' AS factor_id, round(stddev_samp(m) {rows(20)}, 6) AS value FROM y",
 }
-QUERIES = {"e_scalars": e_scalars, "w_windows": w_windows, "w_ewm": w_ewm, "w10_ewm_std": w10_ewm_std, "w21_derived": w21_derived, "f_front_end": f_front_end, "f9_correlation_equivalent": f9_correlation_equivalent, "f13_factor_values": f13_factor_values}
+QUERIES = {"e_scalars": e_scalars, "w_windows": w_windows, "w_ewm": w_ewm, "w10_ewm_std": w10_ewm_std, "w21_derived": w21_derived, "f_front_end": f_front_end, "f9_correlation_equivalent": f9_correlation_equivalent, "f13_factor_values": f13_factor_values, "user_factor_function": user_factor_function}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.functions import ids as I
 from tickweave.functions import text as X
 from tickweave.operators.fuzzy import fuzzy_pairs
+from tickweave.operators.plugins import encoded
 from tickweave.runtime import table, written
 
 PHRASES = ("order flow", "order book", "limit order", "price impact", "queue positions", "fill rates", "volume shocks", "market depth", "noise trading", "hawkes kernels", "alpha decay")
@@ -148,6 +150,15 @@ def t38_hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("rec_id", F.transform(v, lambda x: F.round(x, 6)).alias("vector"))
 
 
+def encoder_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of titles by an encoder that is passed in, here shares of three letters."""
+    def make():
+        return lambda texts: np.array([[float(t.lower().count(c)) for c in "eox"] for t in texts])
+
+    x = encoded(_nodes(spark, folder), F.col("rec_id"), F.col("title"), make)
+    return x.select(F.col("id").alias("rec_id"), *(F.round(F.get("vector", F.lit(i)), 6).alias(f"v{i}") for i in range(3)))
+
+
 def t39_best_match(spark: SparkSession, folder: str) -> DataFrame:
     """Best work for each preprint title among all works, at a ratio of 0.94 or more, ties to the least. Each title is
     compared once; one that a work has literally needs no other."""
@@ -205,6 +216,7 @@ ORACLE = {
     "t29_dates": "SELECT rec_id, CAST(floor(epoch(added_at)) AS BIGINT) AS epoch, coalesce(date_trunc('second', added_at) >= TIMESTAMP '2025-05-02', true) AS recent, CAST(added_at AS DATE) BETWEEN DATE '2025-05-01' AND DATE '2025-05-31' AS in_month FROM graph_nodes",
     "t31_t33_evidence": "WITH e AS (SELECT rec_id, paper_id, CAST(" + " + ".join(f"CAST(contains(lower(quote), '{k}') AS INTEGER)" for k in ("order", "price", "volume", "spread")) + " AS INTEGER) AS score, section IS NULL AS section_missing FROM evidence WHERE paper_id IS NOT NULL AND quote IS NOT NULL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, rec_id) AS INTEGER) AS rank FROM e) WHERE rank <= 8",
     "t36_t37_tokens": f"SELECT rec_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9][a-z0-9_-]*|[\\x{{4e00}}-\\x{{9fff}}]+'))), ' ') AS tokens, array_to_string(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z][a-z-]+'), lambda x: length(x) >= 3 AND x NOT IN ({', '.join(repr(s) for s in STOP)})), ' ') AS title_tokens, CAST(greatest(1, round_even(length(coalesce(title, '')) / CAST(4 AS DOUBLE), 0)) AS INTEGER) AS token_estimate FROM graph_nodes",
+    "encoder_vectors": "WITH c AS (SELECT rec_id, " + ", ".join(f"CAST(length(lower(coalesce(title, ''))) - length(replace(lower(coalesce(title, '')), '{c}', '')) AS DOUBLE) AS c{i}" for i, c in enumerate("eox")) + " FROM graph_nodes) SELECT rec_id, " + ", ".join(f"round(coalesce(c{i} / nullif(sqrt(c0 * c0 + c1 * c1 + c2 * c2), 0), 0), 6) AS v{i}" for i in range(3)) + " FROM c",
     "t40_t49_scores": f"SELECT rec_id, CASE WHEN daily_rankic IS NOT NULL THEN printf('%.2f', floor(abs(daily_rankic) * 100 + CAST(1e-9 AS DOUBLE)) / 100) END AS bucket, CASE WHEN daily_rankic IS NULL THEN 'inconclusive' WHEN daily_rankic >= 0.02 THEN 'supported' ELSE 'refuted' END AS verdict, concat_ws(',', CASE WHEN coalesce(trim(reason), '') = '' THEN 'no_reason' END, CASE WHEN {_tags} <= 0 THEN 'no_tags' END, CASE WHEN coalesce(direction, 'unknown') = 'unknown' THEN 'no_direction' END) AS faults, round(CASE WHEN daily_rankic > 0 AND {_tags} > 0 THEN (daily_rankic * 100 + {_tags}) / 2 WHEN daily_rankic > 0 THEN daily_rankic * 100 WHEN {_tags} > 0 THEN {_tags} ELSE 0.5 END, 2) AS gate, CAST(least(10, 3 * {_tags}) AS INTEGER) AS capped, coalesce(label IN ('positive', 'warning'), false) AS stored FROM feedback_memory",
 }
-QUERIES = {f.__name__: f for f in (t1_t7_phrases, t8_t12_decisions, t13_t16_t50_terms, t18_topics, t19_t24_ids, t21_arxiv, t25_urls, t26_t27_keys, t28_embedding_text, t29_dates, t30_chunks, t31_t33_evidence, t34_t35_json, t36_t37_tokens, t38_hash_embedding, t39_best_match, t40_t49_scores, s10_documents)}
+QUERIES = {f.__name__: f for f in (t1_t7_phrases, t8_t12_decisions, t13_t16_t50_terms, t18_topics, t19_t24_ids, t21_arxiv, t25_urls, t26_t27_keys, t28_embedding_text, t29_dates, t30_chunks, t31_t33_evidence, t34_t35_json, t36_t37_tokens, t38_hash_embedding, encoder_vectors, t39_best_match, t40_t49_scores, s10_documents)}
