@@ -228,6 +228,7 @@ ORACLE = {
     "h38_templates": "SELECT * FROM (SELECT p_brand AS family, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type DESC, p_retailprice DESC, p_partkey) AS INTEGER) AS rank FROM part) WHERE rank <= 2",
     "x1_incremental": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1",
     "x_windows": "SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01')) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "x2_replay": "WITH RECURSIVE m(s, k, t) AS (VALUES " + ", ".join(str(x) for x in _MOVES) + "), e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE user_id IS NOT NULL), r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'idle' AS state, 0 AS refused FROM e UNION ALL SELECT r.user_id, e.i, coalesce(m.t, r.state), r.refused + CAST(m.t IS NULL AS INTEGER) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1 LEFT JOIN m ON m.s = r.state AND m.k = e.event_type) SELECT user_id, state, refused, CAST(i AS INTEGER) AS events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS last FROM r) WHERE last = 1",
     "x3_ledger": "WITH e AS (SELECT user_id, event_id % 997 AS entry, round(value, 2) AS value, event_id FROM events), x AS (SELECT *, row_number() OVER (PARTITION BY user_id, entry ORDER BY event_id) = 1 AS f, first_value(value) OVER (PARTITION BY user_id, entry ORDER BY event_id) AS was FROM e), y AS (SELECT *, sum(CASE WHEN f THEN coalesce(value, 0) ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS spent FROM x) SELECT event_id, round(spent, 2) AS spent, CASE WHEN NOT f AND was IS NOT DISTINCT FROM value THEN 'replay' WHEN NOT f THEN 'conflict' WHEN spent > 2000 THEN 'rejected' ELSE 'accepted' END AS verdict FROM y",
     "x4_chain": "WITH e AS (SELECT *, row_number() OVER w + CASE WHEN event_id % 500 = 0 THEN 1 ELSE 0 END AS seq, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), f AS (SELECT *, lag(event_id) OVER w AS b2, lag(seq) OVER w AS s2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY seq)), g AS (SELECT event_id, CASE WHEN CASE WHEN event_id % 301 = 0 THEN -1 ELSE before END IS DISTINCT FROM b2 THEN 'broken link' WHEN s2 IS NOT NULL AND seq <> s2 + 1 THEN 'gap' END AS fault FROM f) SELECT * FROM g WHERE fault IS NOT NULL",
     "x5_transitions": "SELECT before, event_type, count(*) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NOT NULL AND NOT (before IN ('view', 'click', 'purchase', 'signup', 'logout') AND event_type IN ('view', 'click')) GROUP BY ALL",
