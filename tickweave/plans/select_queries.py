@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickweave.functions import ids as I
 from tickweave.functions import text as X
 from tickweave.operators import greedy as Y
-from tickweave.plans.corpus_queries import _DOI, _L, _latest, _refs, _works
+from tickweave.plans.corpus_queries import _DOI, _L, _R, _latest, _refs, _works
 from tickweave.runtime import table
 from tickweave.sources import tables as T
 
@@ -135,7 +135,13 @@ def u14_u17_updates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_")}
 _has = lambda ks: " + ".join(f"CAST(contains(t, '{k}') AS INTEGER)" for k in ks)
+_STEPS = ", ".join(
+    f"b{k} AS (SELECT source, count(*) AS c FROM u{k} GROUP BY source ORDER BY c DESC, source LIMIT 1), u{k + 1} AS (SELECT * FROM u{k} WHERE target NOT IN (SELECT target FROM u{k} WHERE source IN (SELECT source FROM b{k})))"
+    for k in range(1, 7)
+)
+_PICKS = " UNION ALL ".join(f"SELECT source AS pick, {k} AS rank, c AS new_targets FROM b{k}" for k in range(1, 7))
 ORACLE = {
+    "g11_coverage": f"WITH {_R}, u1 AS (SELECT source, target FROM r), {_STEPS} {_PICKS}",
     "g10_portfolio": "WITH RECURSIVE p AS (SELECT p_partkey, round(p_retailprice, 2) AS c, coalesce(p_brand, '?') AS b, row_number() OVER (ORDER BY CAST(p_size AS DOUBLE) DESC, p_partkey) AS i FROM part WHERE p_partkey IS NOT NULL AND p_size IS NOT NULL AND p_retailprice IS NOT NULL), r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS picked, CAST(0 AS DOUBLE) AS spent, CAST([] AS VARCHAR[]) AS taken UNION ALL SELECT p.i, CASE WHEN ok THEN p_partkey END, CASE WHEN ok THEN spent + c ELSE spent END, CASE WHEN ok THEN list_append(taken, b) ELSE taken END FROM (SELECT p.*, r.spent, r.taken, r.spent + p.c <= 30000 AND len(list_filter(r.taken, lambda x: x = p.b)) < 2 AS ok FROM r JOIN p ON p.i = r.i + 1 WHERE len(r.taken) < 25) p) SELECT picked AS p_partkey, CAST(len(taken) AS INTEGER) AS rank, spent FROM r WHERE picked IS NOT NULL",
     "f15_t42_keys": f"WITH {_L} SELECT source, target, 'edge_' || left(sha256('{{\"source\":\"' || source || '\",\"target\":\"' || target || '\"}}'), 24) AS edge_id FROM r",
     "g9_g18_scores": "WITH s AS (SELECT rec_id, round(CAST(0.5 AS DOUBLE) * least(coalesce(global_impact, 0), 1) + CAST(0.3 AS DOUBLE) * least(coalesce(citation_count, 0) / CAST(500 AS DOUBLE), 1) + CAST(0.2 AS DOUBLE) * CAST(coalesce(is_seed, false) AS INTEGER) + greatest(CAST(-0.2 AS DOUBLE), least(CAST(0.2 AS DOUBLE), (rec_id % 7 - 3) / CAST(10 AS DOUBLE))), 6) AS score FROM graph_nodes) SELECT *, CASE WHEN score >= 0.6 THEN 'deep' WHEN score >= 0.3 THEN 'light' ELSE 'park' END AS route FROM s",
