@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -135,9 +137,10 @@ class BatchIndex:
     def probe(self, classes: DataFrame) -> DataFrame:
         """(rec_id, acc_id, exact): every accepted class of smaller id that a class equals or nearly equals."""
         looked = written(_looked(classes), "looked")
-        counts = self._read("tokens", self._COUNTS, self._bits(looked)).select("token", "df")
+        segments = self.segments()
+        counts = self._read("tokens", self._COUNTS, self._bits(looked), segments).select("token", "df")
         prefixes = written(_rarest(looked, counts), "prefixes")
-        return _meet(prefixes, self._read("postings", self._POSTINGS, self._bits(prefixes)).drop("part"))
+        return _meet(prefixes, self._read("postings", self._POSTINGS, self._bits(prefixes), segments).drop("part"))
 
 
 def pairs_within(classes: DataFrame) -> DataFrame:
@@ -196,6 +199,25 @@ def _settled(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else left.selectExpr("rec_id", "acc_id as first_id")
 
 
+@contextmanager
+def _small_jobs(spark: SparkSession) -> Iterator[None]:
+    """Many small jobs, of which the driver keeps little: plans are run without classes of their own."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _release(spark: SparkSession) -> None:
+    """Free what a batch left in the driver (plans, broadcast tables, classes); else its heap grows to its limit, since
+    a batch leaves more than a collection of the young generation takes."""
+    gc.collect()  # Python's references to the JVM's objects
+    spark.sparkContext._jvm.System.gc()
+
+
 def deduplicate(records: DataFrame, index: BatchIndex) -> DataFrame:
     """(first_id, dup_id): each record of batch 1 and later that repeats an accepted record of smaller id.
 
@@ -204,12 +226,18 @@ def deduplicate(records: DataFrame, index: BatchIndex) -> DataFrame:
     the smallest of an equal form, else the smallest of a nearly equal form. Repeated rows are repeats; records
     that tie on rec_id are one record. Empty input: no rows.
     """
+    with _small_jobs(records.sparkSession):
+        return _deduplicate(records, index)
+
+
+def _deduplicate(records: DataFrame, index: BatchIndex) -> DataFrame:
     form = ["direction", "skeleton", "numbers"]
     records = written(records, "readable")
     groups = written(records.groupBy("batch_no", *form).agg(F.min("rec_id").alias("rec_id"), F.count("*").alias("n")), "classes")
     numbers = sorted(r[0] for r in groups.select("batch_no").distinct().collect())  # batches, not records
     verdicts = []
     for no in numbers:
+        _release(records.sparkSession)
         classes = groups.filter(F.col("batch_no") == no).select("rec_id", *form)
         if no <= 0:
             index.append(classes)
@@ -221,5 +249,6 @@ def deduplicate(records: DataFrame, index: BatchIndex) -> DataFrame:
         index.append(fresh.join(within.select("rec_id"), "rec_id", "left_anti"))
     known = reduce(DataFrame.unionByName, verdicts, records.sparkSession.createDataFrame([], "rec_id long, first_id long"))
     later = groups.filter("batch_no > 0").join(known, "rec_id", "left").withColumn("first_id", F.coalesce("first_id", "rec_id")).drop("rec_id")
+    _release(records.sparkSession)
     rows = records.filter("batch_no > 0").withColumnRenamed("rec_id", "dup_id")
     return skew_join(rows, later, ["batch_no", *form], "n").filter("dup_id > first_id").select("first_id", "dup_id").distinct()
